@@ -75,14 +75,14 @@ def slices(off: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def words(data: np.ndarray, off: np.ndarray, lo: int, hi: int, is_word: np.ndarray, fold: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows lo to hi: the hashes of their words with A-Z lower-cased (or bytes folded by another table), where each row's words begin (hi - lo + 1 numbers), and the words' first and end bytes, counted from the slice's start."""
+def words(data: np.ndarray, off: np.ndarray, lo: int, hi: int, is_word: np.ndarray, fold: np.ndarray = _LOWER, prefixes: tuple[int, ...] = ()) -> tuple:
+    """Of rows lo to hi: the hashes of their words with A-Z lower-cased (or bytes folded by another table), where each row's words begin (hi - lo + 1 numbers), and the words' first and end bytes, counted from the slice's start. With prefixes: also, for each of those numbers of bytes, the words that are longer and the hashes of their beginnings."""
     base = off[lo]
     seg, starts = data[base : off[hi]], off[lo : hi + 1] - base
     n = len(seg)
     if not n:
         none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), np.zeros(hi - lo + 1, np.int64), none, none
+        return np.zeros(0, np.uint64), np.zeros(hi - lo + 1, np.int64), none, none, *((none, np.zeros(0, np.uint64)) for _ in prefixes)
     m = is_word[seg]
     before = np.empty(n, bool)
     before[0], before[1:] = False, m[:-1]
@@ -95,7 +95,11 @@ def words(data: np.ndarray, off: np.ndarray, lo: int, hi: int, is_word: np.ndarr
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[fold][seg] * up[:n], out=sums[1:])
     h = mix((sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64))
-    return h, np.searchsorted(first, starts), first, end
+    more = []
+    for k in prefixes:
+        long = np.flatnonzero(end - first > k)
+        more.append((long, mix((sums[first[long] + k] - sums[first[long]]) * down[first[long]] + U(1 << 32 | k))))
+    return h, np.searchsorted(first, starts), first, end, *more
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:

@@ -205,3 +205,24 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10,
         lambda a, x: F.struct((a["hit"] + F.greatest(F.lit(0), x["end"] - F.greatest(a["to"], x["start"]))).alias("hit"), F.greatest(a["to"], x["end"]).alias("to")),
     )
     return joined.select("doc_id", "n_words", end["hit"].alias("n_hit"), "items", "spans", F.explode(F.array_repeat(F.lit(1), F.col("n")))).drop("col")
+
+
+def decontaminated(documents: DataFrame, benchmark: DataFrame, window: int = 10, text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
+    """The documents, with all their columns, in which no window of the benchmark occurs."""
+    spark = prepare(documents.sparkSession)
+    position = documents.columns.index(text_column)
+    for items in _blocks(benchmark, item_column, item_text_column):
+        sent = spark.sparkContext.broadcast(Block(items, window))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                data, off = utf8(batch.column(position))
+                clean = np.ones(batch.num_rows, bool)
+                for lo, hi in slices(off):
+                    h, at, _, _ = words(data, off, lo, hi, ALNUM)
+                    start, _, _ = sent.value.spans(h, at)
+                    clean[lo + np.searchsorted(at, start, "right") - 1] = False
+                yield batch.filter(pa.array(clean))
+
+        documents = documents.mapInArrow(run, documents.schema)
+    return documents

@@ -15,7 +15,7 @@ Other columns, whatever their names, are left out.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm._spark import saved
@@ -24,11 +24,15 @@ from basketry.llm._spark import saved
 SUPPORT = 0.002
 
 
+def digest(text_column: str = "text") -> Column:
+    """SHA-256 of a text without white space; null counts as empty."""
+    return F.sha2(F.translate(F.coalesce(F.col(text_column), F.lit("")), " \t\n\x0b\x0c\r", ""), 256)
+
+
 def digests(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n (code points of the text), text_sha256 (of the text without white space)."""
     text = F.coalesce(F.col(text_column), F.lit(""))
-    bare = F.translate(text, " \t\n\x0b\x0c\r", "")
-    return documents.select(F.col(id_column).alias("doc_id"), F.length(text).cast("long").alias("n"), F.sha2(bare, 256).alias("text_sha256"))
+    return documents.select(F.col(id_column).alias("doc_id"), F.length(text).cast("long").alias("n"), digest(text_column).alias("text_sha256"))
 
 
 def exact_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", support: float = SUPPORT) -> DataFrame:
