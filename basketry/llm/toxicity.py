@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A logistic model scores every sentence by its words and
-their beginnings; a document's score is the noisy-or of its sentences' scores, one minus
+their beginnings, each once; a document's score is the noisy-or of its sentences' scores, one minus
 the product of their complements. Only documents have labels: the gradient of the
 document's likelihood is shared out among its sentences, so the model learns which of them
 offend, and the sentence with the highest score is reported with its place.
@@ -32,7 +32,7 @@ from basketry.llm._text import ALNUM, slices, utf8, words
 
 POSITIVES, NEGATIVES, FEATURES = 1500, 3000, 4000
 #: Association (chi-square) from which a feature is used.
-LEAST_CHI2 = 15.0
+LEAST_CHI2 = 24.0
 PREFIXES = (4, 5)
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?\n"]] = True
@@ -76,7 +76,7 @@ def _sentences(data: np.ndarray, off: np.ndarray, lo: int, hi: int) -> tuple[np.
     return at, number, [(np.arange(len(h)), h), *more], first, end
 
 
-def fit(documents: DataFrame, labels: DataFrame, label_column: str = "toxic", id_column: str = "doc_id", text_column: str = "text", positives: int = POSITIVES, negatives: int = NEGATIVES, steps: int = 300) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, label_column: str = "toxic", id_column: str = "doc_id", text_column: str = "text", positives: int = POSITIVES, negatives: int = NEGATIVES, steps: int = 500) -> Model:
     """A model of the labels given; hold rows out before."""
     known = labels.where(F.col(label_column).isNotNull() & F.col(id_column).isNotNull())
     known = known.groupBy(F.col(id_column).alias("id")).agg(F.max((F.col(label_column) > 0).cast("int")).alias("y"))
@@ -124,9 +124,10 @@ def fit(documents: DataFrame, labels: DataFrame, label_column: str = "toxic", id
         total[i] = n_sentences
     doc, sentence, feature = (np.concatenate(x) for x in (doc, sentence, feature))
     pairs, row = np.unique(np.stack([doc, sentence], 1), axis=0, return_inverse=True)
-    row, of = row.reshape(-1), pairs[:, 0]
+    of = pairs[:, 0]
+    row, feature = np.unique(np.stack([row.reshape(-1), feature], 1), axis=0).T
     bare = total - np.bincount(of, minlength=len(y))
-    w, bias = np.full(len(chosen), 1.0), -5.0
+    w, bias = np.full(len(chosen), 2.0), -7.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
         z = bias + np.bincount(row, w[feature], len(of))
@@ -135,10 +136,10 @@ def fit(documents: DataFrame, labels: DataFrame, label_column: str = "toxic", id
         clean = np.exp(log_clean)
         pull = np.where(y == 1, -clean / np.maximum(1 - clean, 1e-9), 1.0)
         gz = pull[of] * ps
-        grad = np.concatenate([np.bincount(feature, gz[row], len(w)) / len(y) + 1e-4 * w, [gz.sum() / len(y) + (pull * bare).sum() * p0 / len(y)]])
+        grad = np.concatenate([np.bincount(feature, gz[row], len(w)) / len(y) + 1e-6 * w, [gz.sum() / len(y) + (pull * bare).sum() * p0 / len(y)]])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, bias = w - step[:-1], min(bias - step[-1], -3.0)
+        w, bias = w - step[:-1], min(bias - step[-1], -6.0)
     return Model(model.features, w, float(bias))
 
 
@@ -152,9 +153,9 @@ def _scored(model: Model, data: np.ndarray, off: np.ndarray, lo: int, hi: int):
     if not len(some):
         return score, counts, worst
     z = np.full(int(number[-1]) + 1, model.bias)
-    for word, h in features:
-        which, f = model.find(h)
-        np.add.at(z, number[word[which]], model.weights[f])
+    held = [(number[word[which]], f) for word, h in features for which, f in [model.find(h)]]
+    once = np.unique(np.concatenate([s * (FEATURES + 1) + f for s, f in held]))
+    np.add.at(z, once // (FEATURES + 1), model.weights[once % (FEATURES + 1)])
     p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     s0 = number[at[some]]
     counts[some] = number[at[some + 1] - 1] - s0 + 1
