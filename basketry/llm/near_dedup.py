@@ -7,11 +7,15 @@
    when it collides in at least T coordinates. A posting that stands alone can't collide,
    so a class with fewer than T postings in company has no partner and is skipped with all
    its postings; that is repeated while it still removes many.
-3. What is left falls into clusters that share postings. Within a cluster, blocks of
-   bounded bytes meet pairwise in one task each: collisions are counted, pairs of at least
-   T go on to an exact count on their full sets, and of the links that hold a spanning
-   forest leaves the task, never the pairs.
-4. Components of the forest are those of all links.
+3. Every class left joins the group of the smallest class that it shares most postings
+   with. Within a group, blocks of bounded bytes meet pairwise in one task each:
+   collisions are counted, pairs of at least T go on to an exact count on their full sets,
+   and of the links that hold a spanning forest leaves the task, never the pairs.
+4. Links give components. A posting counts now if it has classes of different components,
+   and classes with fewer than T of those are skipped as in 2: all partners of a class
+   that could still link two components are among the rest. The rest forms groups by
+   whatever postings they share, and those meet as in 3.
+5. Components of all forests are those of all links.
 
 T is so low that a pair at the threshold is missed about once in three million: at 80 %
 similarity, collisions of 48 are fewer than 24 with a probability of 3e-7.
@@ -92,16 +96,16 @@ def signatures(documents: DataFrame, shingle: int, id_column: str = "doc_id", te
 
 
 def sets(documents: DataFrame, shingle: int) -> DataFrame:
-    """Of rows (cluster, doc_id, sig, text): the same with the sorted 64-bit set in the text's place."""
+    """Of rows (doc_id, sig, text): the same with the sorted 64-bit set in the text's place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = utf8(batch.column(3))
+            data, off = utf8(batch.column(2))
             for lo, hi, s, at in _shingles(data, off, shingle):
                 raw = [np.unique(s[at[r] : at[r + 1]]).tobytes() for r in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(3)), pa.array(raw, pa.binary())], names=["cluster", "doc_id", "sig", "shingles"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(2)), pa.array(raw, pa.binary())], names=["doc_id", "sig", "shingles"])
 
-    return documents.select("cluster", "doc_id", "sig", "text").mapInArrow(run, "cluster long, doc_id long, sig binary, shingles binary")
+    return documents.select("doc_id", "sig", "text").mapInArrow(run, "doc_id long, sig binary, shingles binary")
 
 
 def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -198,10 +202,32 @@ def verified(blocks: DataFrame, percent: int) -> DataFrame:
     return blocks.mapInArrow(run, "a long, b long")
 
 
+def _links_within(groups: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among the members of each group, from rows (cluster, doc_id) and (doc_id, sig, shingles)."""
+    sizes = groups.join(full.select("doc_id", F.octet_length("shingles").cast("long").alias("bytes")), "doc_id").groupBy("cluster", "doc_id").agg(F.sum("bytes").alias("bytes"))
+    running = F.sum("bytes").over(Window.partitionBy("cluster").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    placed = sizes.select("doc_id", "cluster", F.floor(F.coalesce(running, F.lit(0)) / BLOCK_BYTES).cast("int").alias("block"))
+    last = placed.groupBy("cluster").agg(F.max("block").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    other = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")
+    placed = placed.join(last, "cluster").select("doc_id", "cluster", "block", other)
+    pairs = placed.join(full, "doc_id").select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "sig", "shingles")
+    return verified(pairs.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j"), percent)
+
+
 def _in_company(posted: DataFrame) -> DataFrame:
-    """Postings (key, node) with n, how many nodes are posted under the key, and first, the smallest of them."""
-    own = Window.partitionBy("key")
-    return posted.select("key", "node", F.count(F.lit(1)).over(own).alias("n"), F.min("node").over(own).alias("first")).where("n > 1")
+    """Of postings (key, node, own): those under whose key others than own are posted, if their node has T or more of them; with first, the key's smallest node."""
+    left = None
+    for _ in range(4):
+        together = Window.partitionBy("key")
+        company = posted.select("key", "node", "own", F.min("own").over(together).alias("low"), F.max("own").over(together).alias("high"), F.min("node").over(together).alias("first"))
+        company = company.where("low != high")
+        kept = company.select("key", "node", "own", "first", F.count(F.lit(1)).over(Window.partitionBy("node")).alias("m")).where(F.col("m") >= T)
+        kept = saved(kept.drop("m"), "postings")
+        now = kept.count()
+        if left is not None and now > 0.9 * left or not now:
+            break
+        left, posted = now, kept.select("key", "node", "own")
+    return kept
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -215,33 +241,25 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, i
 
     value = F.hex(F.substring("sig", F.col("c") * 4 + 1, 4))
     coordinates = F.explode(F.sequence(F.lit(0), F.lit(K - 1))).alias("c")
-    posted = classes.select("node", "sig", coordinates).select(F.xxhash64("c", value).alias("key"), "node")
-    left = None
-    for _ in range(8):
-        company = _in_company(posted)
-        enough = Window.partitionBy("node")
-        kept = company.select("*", F.count(F.lit(1)).over(enough).alias("m")).where(F.col("m") >= T).select("key", "node", "n", "first")
-        kept = saved(kept, "postings")
-        now = kept.count()
-        if left is not None and now > 0.9 * left or not now:
-            break
-        left, posted = now, kept.select("key", "node")
-
-    stars = kept.where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    clusters = components(stars).withColumnRenamed("component", "cluster")
-    members = classes.join(clusters, "node").select(F.col("node").alias("doc_id"), "cluster", "sig")
+    posted = classes.select("node", "sig", coordinates).select(F.xxhash64("c", value).alias("key"), "node", F.col("node").alias("own"))
+    kept = _in_company(posted)
+    left = kept.select(F.col("node").alias("doc_id")).distinct()
     texts = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    members = classes.select(F.col("node").alias("doc_id"), "sig").join(left, "doc_id", "left_semi")
     full = saved(sets(texts.join(members, "doc_id"), shingle), "sets")
-    sizes = full.select("cluster", "doc_id", F.octet_length("shingles").cast("long").alias("bytes"))
-    running = F.sum("bytes").over(Window.partitionBy("cluster").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
-    placed = sizes.select("doc_id", "cluster", F.floor(F.coalesce(running, F.lit(0)) / BLOCK_BYTES).cast("int").alias("block"))
-    last = placed.groupBy("cluster").agg(F.max("block").alias("last"))
-    placed = placed.join(last, "cluster").drop("cluster").dropDuplicates(["doc_id"])
-    other = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")
-    pairs = full.join(placed, "doc_id").select("cluster", "block", "doc_id", "sig", "shingles", other)
-    pairs = pairs.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "sig", "shingles")
-    pairs = pairs.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    links = verified(pairs, percent)
+
+    shared = kept.where("node != first").groupBy("node", "first").agg(F.count(F.lit(1)).alias("n"))
+    best = shared.groupBy("node").agg(F.max(F.struct("n", (-F.col("first")).alias("first"))).alias("best"))
+    groups = best.select((-F.col("best.first")).alias("cluster"), F.col("node").alias("doc_id"))
+    groups = groups.unionByName(groups.select("cluster", F.col("cluster").alias("doc_id"))).distinct()
+    links = saved(_links_within(groups, full, percent), "links")
+
+    found = components(links)
+    open_ = kept.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("own"))
+    rest = _in_company(open_)
+    stars = rest.where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    groups = components(stars).select(F.col("component").alias("cluster"), F.col("node").alias("doc_id"))
+    links = links.unionByName(_links_within(groups, full, percent))
 
     # A class whose copies have other ids links them too; rows that share an id tie their classes.
     tied = own.join(classes.where("copies > 1").select(*same, "node"), same).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
