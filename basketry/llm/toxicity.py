@@ -92,23 +92,23 @@ def fit(documents: DataFrame, labels: DataFrame, label_column: str = "toxic", id
         return Model(np.zeros(0, np.uint64), np.zeros(0), -20.0)
 
     data, off = utf8(sample.column("text"))
-    per_doc = []
-    for lo, hi in slices(off):
-        at, number, features, _, _ = _sentences(data, off, lo, hi)
-        h, word = np.concatenate([x[1] for x in features]), np.concatenate([x[0] for x in features])
-        order = np.argsort(word, kind="stable")
-        h, word = h[order], word[order]
-        cut = np.searchsorted(word, at)
-        for r in range(hi - lo):
-            own = number[at[r] : at[r + 1]]
-            n = int(own[-1] - own[0] + 1) if len(own) else 0
-            per_doc.append((h[cut[r] : cut[r + 1]], number[word[cut[r] : cut[r + 1]]] - (own[0] if len(own) else 0), n))
-    # One of each text counts for the choice of features, lest copies stand for evidence.
+
+    def documents_of(rows: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+        """Of chosen rows: the row, its feature hashes, their sentences, and how many sentences it has. Nothing is kept."""
+        for i in rows.tolist():
+            at, number, features, _, _ = _sentences(data, off, i, i + 1)
+            h, word = np.concatenate([x[1] for x in features]), np.concatenate([x[0] for x in features])
+            yield i, h, number[word] if len(h) else word, int(number[-1]) + 1 if len(number) else 0
+
+    # One of each text counts for the choice of features, lest copies stand for evidence. A feature comes from a positive document.
     _, once = np.unique([hash(data[off[i] : off[i + 1]].tobytes()) for i in range(len(y))], return_index=True)
-    value, inverse = np.unique(np.concatenate([np.unique(per_doc[i][0]) for i in once]), return_inverse=True)
-    label = np.repeat(y[once], [len(np.unique(per_doc[i][0])) for i in once])
-    a = np.bincount(inverse, label, len(value))
-    b = np.bincount(inverse, 1 - label, len(value))
+    value, a = np.unique(np.concatenate([np.unique(h) for _, h, _, _ in documents_of(once[y[once] == 1])]), return_counts=True)
+    value, a = value[a > 1], a[a > 1].astype(np.float64)
+    b = np.zeros(len(value))
+    for _, h, _, _ in documents_of(once[y[once] == 0]):
+        at = np.searchsorted(value, own := np.unique(h))
+        at[at == len(value)] = 0
+        b[at[value[at] == own] if len(value) else at[:0]] += 1
     p, n = y[once].sum(), (1 - y[once]).sum()
     c, d = p - a, n - b
     chi2 = (a + b + c + d) * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * p * n, 1e-9)
@@ -118,7 +118,7 @@ def fit(documents: DataFrame, labels: DataFrame, label_column: str = "toxic", id
 
     # Sentences that hold a feature, as (document, sentence) rows of a sparse matrix; the others count by number.
     doc, feature, sentence, total = [], [], [], np.zeros(len(y))
-    for i, (h, s, n_sentences) in enumerate(per_doc):
+    for i, h, s, n_sentences in documents_of(np.arange(len(y))):
         which, f = model.find(h)
         doc.append(np.full(len(which), i)), sentence.append(s[which]), feature.append(f)
         total[i] = n_sentences
