@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,3 +51,27 @@ def boosted_scores(df: DataFrame, columns: list[str], label: str, trees: int = 1
 
 def auc(scored: DataFrame, label: str) -> float:
     return BinaryClassificationEvaluator(rawPredictionCol="score", labelCol=label).evaluate(scored.withColumn(label, F.col(label).cast("double")))
+
+
+def perceptron_scores(df: DataFrame, columns: list[str], label: str, layers: tuple[int, ...] = (16, 8), width: int = 64, steps: int = 50) -> DataFrame:
+    """Scores by a perceptron over the columns and the item. Items are hashed to `width` inputs, so the model doesn't grow with their number."""
+    rows = df.withColumn("_item", F.col("item_id").cast("string")).withColumn("label", F.col(label).cast("double"))
+    hasher = FeatureHasher(inputCols=["_item"], outputCol="_hashed", numFeatures=width)
+    assembler = VectorAssembler(inputCols=["_hashed", *columns], outputCol="features")
+    net = MultilayerPerceptronClassifier(layers=[width + len(columns), *layers, 2], maxIter=steps, seed=42)
+    train, _ = split_by_time(rows)
+    model = Pipeline(stages=[hasher, assembler, net]).fit(train)
+    return model.transform(rows).select("item_id", "d", label, vector_to_array("probability")[1].alias("score"))
+
+
+def gain_importance(df: DataFrame, columns: list[str], label: str, trees: int = 5) -> DataFrame:
+    """(feature, importance) of boosted trees."""
+    rows = VectorAssembler(inputCols=columns, outputCol="features").transform(df).withColumn("label", F.col(label).cast("double"))
+    found = GBTClassifier(maxIter=trees, maxDepth=4, seed=42).fit(rows).featureImportances.toArray().tolist()
+    return df.sparkSession.createDataFrame(list(zip(columns, map(float, found))), "feature string, importance double")
+
+
+def next_trip(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Of (item_id, d, score): each item's latest score and whether it is expected on the next trip."""
+    last = scored.groupBy("item_id").agg(F.max_by("score", "d").alias("score"))
+    return last.withColumn("expected", F.col("score") >= threshold)

@@ -48,3 +48,9 @@ def write_parquet(df: DataFrame, path: str) -> None:
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def write_tables(frames: dict[str, DataFrame], path: str) -> None:
+    """Each frame as CSV in a folder of its name: what a workbook of many sheets holds."""
+    for name, df in frames.items():
+        write_csv(df, f"{path}/{name}")

@@ -9,7 +9,7 @@ from basketry.sources import receipts
 
 
 def receipt_stream(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.readStream.schema("value string").option("wholetext", True).text(path)
+    raw = spark.readStream.schema("value string").text(path, wholetext=True)
     return receipts.events(receipts.parse(raw.select(F.col("_metadata.file_name").alias("source"), "value")))
 
 
