@@ -146,7 +146,7 @@ def _blocks(benchmark: DataFrame, item_column: str, text_column: str) -> Iterato
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_hit (words inside any occurrence of a window), items (ids as strings, sorted), spans (of hit words, first to behind the last)."""
     spark = prepare(documents.sparkSession)
-    wanted = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    wanted = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("mark"))
 
     def find(block: Block):
         sent = spark.sparkContext.broadcast(block)
@@ -180,21 +180,22 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10,
                             pa.array(hit, pa.int64()),
                             pa.array(items, pa.list_(pa.string())),
                             pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                            batch.column(2).slice(lo, hi - lo),
                         ],
-                        names=["doc_id", "n_words", "n_hit", "items", "spans"],
+                        names=["doc_id", "n_words", "n_hit", "items", "spans", "mark"],
                     )
 
         return run
 
     blocks = [Block(b, window) for b in _blocks(benchmark, item_column, item_text_column)]
     if len(blocks) == 1:
-        return wanted.mapInArrow(find(blocks[0]), SCHEMA)
-    parts = [wanted.mapInArrow(find(b), SCHEMA) for b in blocks]
+        return wanted.mapInArrow(find(blocks[0]), f"{SCHEMA}, mark long").drop("mark")
+    parts = [wanted.mapInArrow(find(b), f"{SCHEMA}, mark long") for b in blocks]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    # A row of every block for each document; rows that share an id but not a text differ in their number of words at least, or are told apart no further.
-    joined = every.groupBy("doc_id", "n_words").agg(
+    # A row of every block for each document; rows that share an id but not a text differ in their mark.
+    joined = every.groupBy("doc_id", "n_words", "mark").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
         (F.count(F.lit(1)) / len(blocks)).cast("int").alias("n"),

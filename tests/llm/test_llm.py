@@ -132,6 +132,14 @@ def test_contamination(spark, docs, block, monkeypatch):
     assert all(x[1] == 0 for x in decontaminate.contamination(docs, bench.limit(0)).select("doc_id", "n_hit").collect())
 
 
+def test_contamination_of_rows_that_share_an_id(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 10)
+    d = spark.createDataFrame([(1, "aa bb cc dd"), (1, "aa bb ee ff"), (1, "aa bb ee ff")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "bb cc dd"), (2, "ee ff"), (3, "other words here")], "item_id long, text string")
+    got = sorted((r.n_hit, r["items"]) for r in decontaminate.contamination(d, items).collect())
+    assert got == [(2, ["2"]), (2, ["2"]), (3, ["1"])]
+
+
 def test_sharding(docs):
     rows = sharding.shard(docs, shards=4, slots=64).collect()
     assert {r.doc_id: (r.size, r.text_crc32) for r in rows} == {i: (len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in enumerate(TEXTS)}
