@@ -179,3 +179,63 @@ def parameter_search(spark, sf):
 
     rows = VectorAssembler(inputCols=["since", "avg_gap", "n_so_far"], outputCol="features").transform(learnable(spark, sf)).select("features", F.col("buy").cast("double").alias("label"))
     return experiments.search(rows, LogisticRegression(maxIter=20), experiments.grid(regParam=[0.0, 0.01, 0.1], elasticNetParam=[0.0, 1.0]))[1]
+
+
+_SS, _SE = "make_date(year(d), 8, 15)", "make_date(year(d), 5, 31)"
+_START = f"date_diff('day', d, CASE WHEN d <= {_SS} THEN {_SS} ELSE make_date(year(d) + 1, 8, 15) END)"
+_END = f"date_diff('day', d, CASE WHEN d <= {_SE} THEN {_SE} ELSE make_date(year(d) + 1, 5, 31) END)"
+# In January there is no daylight saving, and all purchases of the table are in January.
+_DATE_SQL = f"""CAST({_START} AS BIGINT) AS "daysUntilSchoolStart_raw", ln(1 + {_START}) AS "daysUntilSchoolStart_log_feat", CAST({_END} AS BIGINT) AS "daysUntilSchoolEnd_raw", ln(1 + {_END}) AS "daysUntilSchoolEnd_log_feat",
+ CASE WHEN d > {_SE} THEN date_diff('day', {_SE}, d) / 365.0 ELSE -date_diff('day', d, {_SS}) / 365.0 END AS "schoolSeasonIndex_feat", 0 AS "isDayLightSavingsTime_feat", year(d) AS year_feat, month(d) AS month_cyc_feat, day(d) AS day_cyc_feat, isodow(d) - 1 AS dow_cyc_feat, dayofyear(d) AS doy_feat, quarter(d) AS quarter_feat"""
+_INTS = ["didBuy_target", "daysSinceThisItemLastPurchased_raw", "itemPurchaseCount_raw", "daysUntilSchoolStart_raw", "daysUntilSchoolEnd_raw", "isDayLightSavingsTime_feat", "year_feat", "month_cyc_feat", "day_cyc_feat", "dow_cyc_feat", "doy_feat", "quarter_feat", "daysSinceLastTrip_raw"]
+_REALS = ["daysSinceThisItemLastPurchased_log_feat", "itemSupplyLevel_feat", "item_due_ratio_feat", "avgDaysBetweenItemPurchases_feat", "expectedDaysBetweenPurchases_ewma_feat", "daysUntilSchoolStart_log_feat", "daysUntilSchoolEnd_log_feat", "schoolSeasonIndex_feat", "avgDaysBetweenTrips_feat", "temp_feat"]
+_ITEM_SQL = f"""{GAPS}, x AS (SELECT *, list(CAST(gap AS DOUBLE)) FILTER (gap IS NOT NULL) OVER (PARTITION BY item_id ORDER BY d ROWS UNBOUNDED PRECEDING) AS gs FROM feats),
+ e AS (SELECT item_id, d, qty, buy, since, avg_gap, n_so_far, coalesce(CASE WHEN len(gs) > 0 THEN list_reduce(gs, lambda a, g: 0.3 * g + 0.7 * a) END, 0) AS ewma FROM x),
+ w AS (SELECT CAST(ts AS DATE) AS d, avg(value) AS temp_feat FROM events GROUP BY 1), v AS (SELECT d, coalesce(date_diff('day', lag(d) OVER (ORDER BY d), d), 0) AS gap FROM dd),
+ vv AS (SELECT d, gap, coalesce(avg(nullif(gap, 0)) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING), 0) AS avg_trip FROM v)"""
+
+
+def _cast_sql(ints, reals) -> str:
+    return ", ".join([f'CAST("{c}" AS BIGINT) AS "{c}"' for c in ints] + [f'round(CAST("{c}" AS DOUBLE), 6) AS "{c}"' for c in reals])
+
+
+def _derived_sql(since: str, average: str) -> str:
+    return f"""{since} AS "daysSinceThisItemLastPurchased_raw", ln(1 + {since}) AS "daysSinceThisItemLastPurchased_log_feat",
+ greatest(0.0, least(1.0, 1 - CASE WHEN {average} > 0 THEN {since} / {average} ELSE 0 END)) AS "itemSupplyLevel_feat", least(3.0, CASE WHEN {average} = 0 THEN 0.0 ELSE {since} / {average} END) AS item_due_ratio_feat"""
+
+
+def _typed(df, ints, reals, *keys):
+    return df.select(*keys, *(big(F.col(c), c) for c in ints), *(r6(F.col(c), c) for c in reals))
+
+
+def _weather(spark, sf):
+    return table(spark, sf, "events").groupBy(F.to_date("ts").alias("d")).agg(F.avg("value").alias("temp_feat"))
+
+
+@query(
+    f"""WITH {_ITEM_SQL}, f AS (SELECT item_id, d, qty, buy AS "didBuy_target", {_derived_sql("since", "avg_gap")}, avg_gap AS "avgDaysBetweenItemPurchases_feat", ewma AS "expectedDaysBetweenPurchases_ewma_feat",
+ n_so_far AS "itemPurchaseCount_raw", {_DATE_SQL}, vv.gap AS "daysSinceLastTrip_raw", avg_trip AS "avgDaysBetweenTrips_feat", temp_feat FROM e JOIN vv USING (d) LEFT JOIN w USING (d))
+SELECT item_id, d, qty, {_cast_sql(_INTS, _REALS)} FROM f"""
+)
+def training_frame(spark, sf):
+    """All features of the panel."""
+    from basketry.plans import training
+
+    return _typed(training.training_frame(ev(spark, sf), _weather(spark, sf)), _INTS, _REALS, "item_id", "d", "qty")
+
+
+_AHEAD = [c for c in _INTS if c != "didBuy_target"]
+
+
+@query(
+    f"""WITH {_ITEM_SQL}, asked AS (SELECT CAST(unnest(['2024-01-30', '2024-01-31']) AS DATE) + 1 AS d), s AS (SELECT item_id, max(CASE WHEN buy = 1 THEN d END) AS last_d, max_by(avg_gap, d) AS avg_gap, max_by(ewma, d) AS ewma, max(n_so_far) AS n FROM e GROUP BY 1),
+ t AS (SELECT max(d) AS last_trip, max_by(avg_trip, d) AS avg_trip FROM vv), p AS (SELECT item_id, asked.d, date_diff('day', last_d, asked.d) AS since, avg_gap, ewma, n, date_diff('day', last_trip, asked.d) AS trip, avg_trip FROM s, t, asked),
+ f AS (SELECT item_id, d, {_derived_sql("since", "avg_gap")}, avg_gap AS "avgDaysBetweenItemPurchases_feat", ewma AS "expectedDaysBetweenPurchases_ewma_feat", n AS "itemPurchaseCount_raw", {_DATE_SQL}, trip AS "daysSinceLastTrip_raw", avg_trip AS "avgDaysBetweenTrips_feat", temp_feat FROM p LEFT JOIN w USING (d))
+SELECT item_id, d, {_cast_sql(_AHEAD, _REALS)} FROM f"""
+)
+def prediction_frame(spark, sf):
+    """The features of every item on two coming days."""
+    from basketry.plans import training
+
+    asked = spark.sql("SELECT explode(array(DATE'2024-01-31', DATE'2024-02-01')) AS d")
+    return _typed(training.prediction_frame(ev(spark, sf), asked, _weather(spark, sf)), _AHEAD, _REALS, "item_id", "d")
