@@ -215,18 +215,20 @@ def _links_within(groups: DataFrame, full: DataFrame, percent: int) -> DataFrame
 
 
 def _in_company(posted: DataFrame) -> DataFrame:
-    """Of postings (key, node, own): those under whose key others than own are posted, if their node has T or more of them; with first, the key's smallest node."""
+    """Of postings (key, node, own): those under whose key others than own are posted, if their node has T or more of them; with first, the key's smallest node. Without own, each node is its own: a column less to shuffle."""
+    together = Window.partitionBy("key")
+    rest = [c for c in posted.columns if c == "own"]
+    own = "own" if rest else "node"
     left = None
     for _ in range(4):
-        together = Window.partitionBy("key")
-        company = posted.select("key", "node", "own", F.min("own").over(together).alias("low"), F.max("own").over(together).alias("high"), F.min("node").over(together).alias("first"))
+        company = posted.select("key", "node", *rest, F.min(own).over(together).alias("low"), F.max(own).over(together).alias("high"), F.min("node").over(together).alias("first"))
         company = company.where("low != high")
-        kept = company.select("key", "node", "own", "first", F.count(F.lit(1)).over(Window.partitionBy("node")).alias("m")).where(F.col("m") >= T)
+        kept = company.select("key", "node", *rest, "first", F.count(F.lit(1)).over(Window.partitionBy("node")).alias("m")).where(F.col("m") >= T)
         kept = saved(kept.drop("m"), "postings")
         now = kept.count()
         if left is not None and now > 0.9 * left or not now:
             break
-        left, posted = now, kept.select("key", "node", "own")
+        left, posted = now, kept.select("key", "node", *rest)
     return kept
 
 
@@ -241,7 +243,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, i
 
     value = F.hex(F.substring("sig", F.col("c") * 4 + 1, 4))
     coordinates = F.explode(F.sequence(F.lit(0), F.lit(K - 1))).alias("c")
-    posted = classes.select("node", "sig", coordinates).select(F.xxhash64("c", value).alias("key"), "node", F.col("node").alias("own"))
+    posted = classes.select("node", "sig", coordinates).select(F.xxhash64("c", value).alias("key"), "node")
     kept = _in_company(posted)
     left = kept.select(F.col("node").alias("doc_id")).distinct()
     texts = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
