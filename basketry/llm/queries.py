@@ -46,7 +46,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from basketry.llm.html_extract import extract
 
-    out = extract(table(spark, sf_dir, "pages"))
+    out = extract(table(spark, sf_dir, "pages"), keep_article=True)
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "template_pages")
 
 

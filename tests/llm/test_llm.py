@@ -79,6 +79,22 @@ def test_html(spark):
     assert got[23].text == "Tz & co\nFirst z line\nSecond <z>\nSame words"
 
 
+def extracted(spark, rows, **options):
+    return {r.page_id: r for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), **options).collect()}
+
+
+def test_html_of_copies(spark):
+    copies = [(i, None, "<p>one</p><p>two</p>") for i in range(12)] + [(20 + i, f"http://two.example/{i}", f"<p>Page {i % 2}</p><p>more {i % 2}</p>") for i in range(24)]
+    got = extracted(spark, copies + [(9, None, "<p>one</p><p>two</p>")])
+    assert all(got[i].text == "one\ntwo" and got[i].template_pages == 0 for i in range(12))
+    assert all(got[20 + i].text == f"Page {i % 2}\nmore {i % 2}" for i in range(24))
+
+
+def test_html_keeps_what_every_article_carries(spark):
+    got = extracted(spark, [(i, f"http://h.example/{i}", PAGE.format(i)) for i in range(12)], keep_article=True)
+    assert all(got[i].text == f"T{i} & co\nFirst {i} line\nSecond <{i}>\nSame words" for i in range(12))
+
+
 def shingles(text, k):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
