@@ -95,6 +95,17 @@ def test_html_keeps_what_every_article_carries(spark):
     assert all(got[i].text == f"T{i} & co\nFirst {i} line\nSecond <{i}>\nSame words" for i in range(12))
 
 
+def test_html_of_two_layouts(spark):
+    one = '<body><div class="a"><div class="b"><div class="c">Top of one</div><p>Own {0}</p></div></div></body>'
+    two = '<body><section class="d"><table><tr><td>Top of two</td></tr></table><p>Own {0}</p></section></body>'
+    rows = [(i, f"http://h.example/{i}", (one if i < 12 else two).format(i)) for i in range(24)]
+    # Two pages that quote each other have no layout of their own.
+    rows += [(30 + i, f"http://h.example/q{i}", one.format(f"q{i}").replace("<p>", "<p>Quoted words</p><p>")) for i in range(2)]
+    got = extracted(spark, rows)
+    assert all(got[i].text == f"Own {i}" for i in range(24))
+    assert all(got[30 + i].text == f"Quoted words\nOwn q{i}" for i in range(2))
+
+
 def shingles(text, k):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
