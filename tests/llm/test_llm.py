@@ -106,6 +106,17 @@ def test_html_of_two_layouts(spark):
     assert all(got[30 + i].text == f"Quoted words\nOwn q{i}" for i in range(2))
 
 
+@pytest.mark.parametrize("n", [2, 9, 10, 40])
+def test_html_of_hosts_of_any_size_with_broken_pages(spark, n):
+    page = "<body><div><b>Shared top</b></div><p>Own {0}</p><div><i>Shared end</i></div></body>"
+    rows = [(i, f"http://h.example/{i}", page.format(i)) for i in range(n)] + [(100, "http://h.example/null", None), (101, "http://h.example/blank", " ")]
+    if n >= 10:
+        rows.append((102, "http://h.example/cut", "<body><div><b>Shared top</b></div><p>Cut"))
+    got = extracted(spark, rows)
+    assert all(got[i].text == f"Own {i}" and got[i].template_pages == n + (n >= 10) for i in range(n))
+    assert got[100].text == got[101].text == "" and (n < 10 or got[102].text == "Cut")
+
+
 def shingles(text, k):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
