@@ -117,6 +117,13 @@ def test_html_of_hosts_of_any_size_with_broken_pages(spark, n):
     assert got[100].text == got[101].text == "" and (n < 10 or got[102].text == "Cut")
 
 
+def test_html_keeps_all_outermost_articles(spark):
+    page = '<body><p>Out</p><div class="post"><article class="post"><p>One {0}</p></article><article class="post sticky"><p>Two {0}</p><article>In {0}</article></article></div><main>Three {0}</main></body>'
+    marked = '<body><p>Out</p><div class="entry">One {0}</div><div class="entry story">Two {0}</div></body>'
+    got = extracted(spark, [(i, f"http://h{i % 2}.example/{i}", (page, marked)[i % 2].format(i)) for i in range(6)] + [(10, "http://x.example", page.format(10))], keep_article=True)
+    assert all(got[i].text == (f"One {i}\nTwo {i}" if i % 2 else f"One {i}\nTwo {i}\nIn {i}\nThree {i}") for i in got)
+
+
 def shingles(text, k):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
