@@ -1,8 +1,9 @@
 """From raw documents to packed sequences: toxicity, exact and near duplicates, decontamination, packing.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet
-and read again for the next one. All but the last return the columns of documents. Rows
-that share an id and a text are one document: they stay or go together.
+and read again for the next one. All but the last return the columns of documents; from toxicity
+to near_dedup a number of each row goes with them, so that of a group one row stays,
+whether ids are null or repeated.
 """
 
 from __future__ import annotations
@@ -13,25 +14,44 @@ from pyspark.sql import functions as F
 from basketry.llm import decontaminate, exact_dedup, near_dedup, packing, toxicity
 from basketry.llm._spark import saved
 
+#: The column that numbers rows.
+ROW = "_row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number of each row. It is fixed once the result is written."""
+    return docs.withColumn(ROW, F.monotonically_increasing_id())
+
+
+def with_rows(docs: DataFrame) -> DataFrame:
+    return docs if ROW in docs.columns else saved(numbered(docs), "rows")
+
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.7, by a model of the labels that aren't held out. Fitting reads the labels' own documents."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels.where(~toxicity.held_out("doc_id")), label_column="toxic")
-    return toxicity.without_toxic(docs, model, threshold=0.7)
+    return numbered(toxicity.without_toxic(docs, model, threshold=0.7))
 
 
 def remove_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    gone = exact_dedup.exact_duplicates(docs).where(~F.col("kept")).select("doc_id", "text_sha256")
-    right = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_digest"))
-    return docs.join(right, (docs["doc_id"] == right["gone_id"]) & (exact_dedup.digest("text") == right["gone_digest"]), "left_anti")
+    """One row of each group of equal texts: the longest text, of those the least id."""
+    docs = with_rows(docs)
+    gone = exact_dedup.exact_duplicates(docs, row_column=ROW).where(~F.col("kept")).select(F.col("row_key").alias("gone"))
+    return docs.join(gone, docs[ROW] == gone["gone"], "left_anti")
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles with a similarity of 0.8 or more."""
-    gone = near_dedup.near_duplicates(docs, shingle=5, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """One row of each group linked by five-word shingles with a similarity of 0.8 or more: the one with the least id; null ids come last."""
+    docs = with_rows(docs)
+    near = near_dedup.near_duplicates(docs, shingle=5, percent=80, id_column=ROW).select(F.col("doc_id").alias("member"), F.col("component_id").alias("component"))
+    near = saved(near, "near")
+    members = near.join(near.where("member != component").select("component").distinct(), "component", "left_semi")
+    members = saved(docs.join(members, docs[ROW] == members["member"]).select("component", "member", "doc_id", F.xxhash64("text").alias("text_hash")), "members")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash", "member"))
+    stays = members.groupBy("component").agg(first.alias("first")).select(F.col("first.member").alias("stays"))
+    gone = members.join(stays, members["member"] == stays["stays"], "left_anti").select(F.col("member").alias("gone"))
+    return docs.join(gone, docs[ROW] == gone["gone"], "left_anti").drop(ROW)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -260,3 +260,31 @@ def test_words_match_a_regex():
         for x, v in zip(w, h[at[i] : at[i + 1]].tolist()):
             assert seen.setdefault(x, v) == v
     assert len(set(seen.values())) == len(seen)
+
+
+def counted(rows):
+    return Counter((r.doc_id, r.text) for r in rows)
+
+
+ROWS = [(1, "a  b"), (1, "a  b"), (2, "a b"), (None, "c"), (None, "c"), (None, "d e"), (3, "d  e"), (4, "c d"), (4, "x y"), (None, None), (None, ""), (5, "d e")]
+
+
+def test_exact_stage_decides_by_row(spark):
+    import corpus_pipeline
+
+    groups = defaultdict(list)
+    for i, t in ROWS:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((-len(t or ""), i is None, i or 0, i, t))
+    got = counted(corpus_pipeline.remove_exact_copies(spark, spark.createDataFrame(ROWS, "doc_id long, text string"), "").collect())
+    assert Counter({(i, t or ""): n for (i, t), n in got.items()}) == Counter((b[3], b[4] or "") for b in (min(g, key=lambda x: x[:3]) for g in groups.values()))
+
+
+def test_near_stage_decides_by_row(spark):
+    import corpus_pipeline
+
+    words = ["w%d" % i for i in range(200)]
+    text = " ".join(words)
+    near, other = text + " more", prose(90, random.Random(8))
+    rows = [(7, text), (3, near), (3, other), (None, text + " last"), (None, prose(80, random.Random(9))), (9, other), (9, other), (None, "q w e r t y u i"), (None, "q w e r t y u i"), (11, None), (11, "")]
+    got = counted(corpus_pipeline.remove_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect())
+    assert got == Counter([(3, near), (3, other), rows[4], rows[7], rows[9], rows[10]])
