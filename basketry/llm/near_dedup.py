@@ -17,8 +17,9 @@
    whatever postings they share, and those meet as in 3.
 5. Components of all forests are those of all links.
 
-T is so low that a pair at the threshold is missed about once in three million: at 80 %
-similarity, collisions of 48 are fewer than 24 with a probability of 3e-7.
+T is the highest number with which a pair at the threshold is missed with a probability of
+at most 1e-6: at 80 % similarity, collisions of 48 are fewer than 24 with a probability of
+7.8e-7. Thresholds below 26 % have no such T and are refused.
 
 Null or empty texts and texts without words have an empty set and no links. A text of
 fewer words than a shingle is one shingle. Rows with a null id have no links and stay.
@@ -28,6 +29,7 @@ whatever names, are left out.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +42,8 @@ from basketry.llm._text import NOT_SPACE, grams, mix, slices, utf8, words
 from basketry.llm.graph import components
 
 K = 48
-T = 24
+#: Probability at most with which a pair at the threshold is missed.
+MISSED = 1e-6
 #: Bytes of sets in a block; two blocks meet in a task.
 BLOCK_BYTES = 4 << 20
 
@@ -50,6 +53,18 @@ _FLIP = _rng.integers(1, 2**63, K, dtype=np.uint64)
 _TIMES = _rng.integers(1, 2**63, K, dtype=np.uint64) | U(1)
 
 
+def least_collisions(percent: int) -> int:
+    """T for a threshold: the most collisions of K that a pair at the threshold has with a probability of 1 - MISSED or more."""
+    p, missed, t = percent / 100, 0.0, 0
+    if not 0 < p <= 1:
+        raise ValueError(f"percent must be above 0 and at most 100, not {percent}")
+    while t < K and (missed := missed + math.comb(K, t) * p**t * (1 - p) ** (K - t)) <= MISSED:
+        t += 1
+    if not t:
+        raise ValueError(f"{K} coordinates can't find pairs of {percent} % without missing more than {MISSED} of them")
+    return t
+
+
 def _shingles(data: np.ndarray, off: np.ndarray, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For slices of rows: first row, behind the last, hashes of the rows' shingles, where each row's begin. Rows' shingles may repeat."""
     for lo, hi in slices(off):
@@ -143,14 +158,14 @@ def _links(doc_a: np.ndarray, sig_a: np.ndarray, set_a: list[np.ndarray], doc_b:
         return x
 
     size_a, size_b = np.array([len(x) for x in set_a]), np.array([len(x) for x in set_b])
-    forest = []
+    forest, least = [], least_collisions(percent)
     step = 128 if len(doc_a) * len(doc_b) > 256 else len(doc_a)
     for lo in range(0, len(doc_a), step):
         hits = np.zeros((min(step, len(doc_a) - lo), len(doc_b)), np.uint8)
         for c in range(K):
             hits += sig_a[lo : lo + step, c, None] == sig_b[None, :, c]
         part_a = size_a[lo : lo + step, None]
-        wanted = (hits >= T) & (100 * np.minimum(part_a, size_b) >= percent * np.maximum(part_a, size_b)) & (doc_a[lo : lo + step, None] != doc_b)
+        wanted = (hits >= least) & (100 * np.minimum(part_a, size_b) >= percent * np.maximum(part_a, size_b)) & (doc_a[lo : lo + step, None] != doc_b)
         if doc_a is doc_b:
             wanted &= np.arange(lo, lo + len(hits))[:, None] < np.arange(len(doc_b))
         if not wanted.any():
@@ -214,8 +229,8 @@ def _links_within(groups: DataFrame, full: DataFrame, percent: int) -> DataFrame
     return verified(pairs.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j"), percent)
 
 
-def _in_company(posted: DataFrame) -> DataFrame:
-    """Of postings (key, node, own): those under whose key others than own are posted, if their node has T or more of them; with first, the key's smallest node. Without own, each node is its own: a column less to shuffle."""
+def _in_company(posted: DataFrame, least: int) -> DataFrame:
+    """Of postings (key, node, own): those under whose key others than own are posted, if their node has `least` or more of them; with first, the key's smallest node. Without own, each node is its own: a column less to shuffle."""
     together = Window.partitionBy("key")
     rest = [c for c in posted.columns if c == "own"]
     own = "own" if rest else "node"
@@ -223,7 +238,7 @@ def _in_company(posted: DataFrame) -> DataFrame:
     for _ in range(4):
         company = posted.select("key", "node", *rest, F.min(own).over(together).alias("low"), F.max(own).over(together).alias("high"), F.min("node").over(together).alias("first"))
         company = company.where("low != high")
-        kept = company.select("key", "node", *rest, "first", F.count(F.lit(1)).over(Window.partitionBy("node")).alias("m")).where(F.col("m") >= T)
+        kept = company.select("key", "node", *rest, "first", F.count(F.lit(1)).over(Window.partitionBy("node")).alias("m")).where(F.col("m") >= least)
         kept = saved(kept.drop("m"), "postings")
         now = kept.count()
         if left is not None and now > 0.9 * left or not now:
@@ -234,6 +249,7 @@ def _in_company(posted: DataFrame) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
+    least = least_collisions(percent)
     prepare(documents.sparkSession)
     signed = saved(signatures(documents, shingle, id_column, text_column), "signatures")
     same = ["n_shingles", "fp_sum", "fp_xor"]
@@ -244,7 +260,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, i
     value = F.hex(F.substring("sig", F.col("c") * 4 + 1, 4))
     coordinates = F.explode(F.sequence(F.lit(0), F.lit(K - 1))).alias("c")
     posted = classes.select("node", "sig", coordinates).select(F.xxhash64("c", value).alias("key"), "node")
-    kept = _in_company(posted)
+    kept = _in_company(posted, least)
     left = kept.select(F.col("node").alias("doc_id")).distinct()
     texts = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     members = classes.select(F.col("node").alias("doc_id"), "sig").join(left, "doc_id", "left_semi")
@@ -258,7 +274,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, i
 
     found = components(links)
     open_ = kept.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("own"))
-    rest = _in_company(open_)
+    rest = _in_company(open_, least)
     stars = rest.where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b"))
     groups = components(stars).select(F.col("component").alias("cluster"), F.col("node").alias("doc_id"))
     links = links.unionByName(_links_within(groups, full, percent))

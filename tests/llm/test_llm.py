@@ -142,6 +142,23 @@ def test_near_duplicates(docs):
     assert near_dedup.near_duplicates(empty(docs)).count() == 0
 
 
+def test_near_duplicates_at_other_thresholds(spark):
+    pairs = [(percent, least) for percent in range(26, 101) for least in [near_dedup.least_collisions(percent)]]
+    for percent, least in pairs:
+        below = lambda t: sum(math.comb(48, k) * (percent / 100) ** k * (1 - percent / 100) ** (48 - k) for k in range(t))  # noqa: B023, E731
+        assert below(least) <= 1e-6 and (least == 48 or below(least + 1) > 1e-6)
+    assert dict(pairs)[80] == 24
+    for percent in (0, 25, 101):
+        with pytest.raises(ValueError):
+            near_dedup.least_collisions(percent)
+    rows = []
+    for n in range(60):  # pairs of 60 and 60 words that share 40: 50 %
+        own = [f"{n}x{k}" for k in range(80)]
+        rows += [(2 * n, " ".join(own[:60])), (2 * n + 1, " ".join(own[20:]))]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1, 50).collect()}
+    assert got == {i: i - i % 2 for i in range(120)}
+
+
 @pytest.mark.parametrize("support", [0.002, 0.2])
 def test_exact_duplicates(docs, support):
     bare = [re.sub(r"[\x20\x09-\x0D]", "", t or "") for t in TEXTS]
