@@ -3,7 +3,9 @@
 A record's id alone decides its slot, one of thousands, for good. Only the map from slots
 to shards is decided by the data: bytes are summed per slot and slots dealt to shards so
 that shards get nearly equal bytes. The map is a small versioned table (one row per slot);
-rebalancing edits it and moves slots, never single records.
+rebalancing edits it and moves slots, never single records. Versions are written to a
+folder; a run given that folder follows the newest, or writes the first. For another number
+of shards it writes the next version. A version that wasn't written whole is an error.
 
 The map has as many rows as there are slots, whatever the input, so it is handled on the
 driver and broadcast. A shard's rows are numbered slot by slot: only a slot's rows, a few
@@ -19,6 +21,7 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -83,8 +86,27 @@ class SlotMap:
             total[lo] += size[slot]
 
     def table(self, spark: SparkSession) -> DataFrame:
-        rows = [(self.version, slot, s) for slot, s in enumerate(self.shard_of)]
-        return spark.createDataFrame(rows, "map_version int, virtual_slot int, shard int")
+        rows = [(self.version, slot, s, self.shards, len(self.shard_of)) for slot, s in enumerate(self.shard_of)]
+        return spark.createDataFrame(rows, "map_version int, virtual_slot int, shard int, shards int, slots int")
+
+    def write(self, spark: SparkSession, folder: str) -> None:
+        """A version is never written over."""
+        self.table(spark).coalesce(1).write.mode("error").parquet(f"{folder}/version={self.version}")
+
+    @classmethod
+    def read(cls, spark: SparkSession, folder: str, version: int | None = None) -> SlotMap | None:
+        """The newest version in the folder, or the one asked for; None if there is no folder."""
+        try:
+            kept = spark.read.parquet(folder)
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
+        version = version or kept.agg(F.max("map_version")).first()[0]
+        rows = sorted(kept.where(F.col("map_version") == version).select("virtual_slot", "shard", "shards", "slots").collect())
+        if not rows or [r[0] for r in rows] != list(range(rows[0][3])):
+            raise ValueError(f"version {version} of the map in {folder} is missing or not whole")
+        return cls(version, rows[0][2], tuple(r[1] for r in rows))
 
 
 def slot_sizes(records: DataFrame) -> dict[int, tuple[int, int]]:
@@ -93,9 +115,16 @@ def slot_sizes(records: DataFrame) -> dict[int, tuple[int, int]]:
     return {r["virtual_slot"]: (r["size"], r["n"]) for r in rows}
 
 
-def shard(documents: DataFrame, shards: int = 40, slots: int = SLOTS, slot_map: SlotMap | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per document: doc_id, size, text_crc32, law, shard, slot (its place in the shard), virtual_slot, map_version. With slot_map, a map kept from before is followed."""
+def shard(documents: DataFrame, shards: int = 40, slots: int = SLOTS, slot_map: SlotMap | None = None, id_column: str = "doc_id", text_column: str = "text", maps: str | None = None) -> DataFrame:
+    """One row per document: doc_id, size, text_crc32, law, shard, slot (its place in the shard), virtual_slot, map_version. With slot_map, a map kept from before is followed; with maps, the newest of that folder."""
+    return placed(documents, shards, slots, slot_map, id_column, text_column, maps)[0]
+
+
+def placed(documents: DataFrame, shards: int = 40, slots: int = SLOTS, slot_map: SlotMap | None = None, id_column: str = "doc_id", text_column: str = "text", maps: str | None = None) -> tuple[DataFrame, SlotMap]:
+    """The rows of shard(), and the map that placed them."""
     spark = documents.sparkSession
+    slot_map = known = slot_map or (SlotMap.read(spark, maps) if maps else None)
+    slots = len(slot_map.shard_of) if slot_map else slots
     text = F.encode(F.coalesce(F.col(text_column), F.lit("")), "utf-8")
     records = saved(
         documents.select(
@@ -107,7 +136,12 @@ def shard(documents: DataFrame, shards: int = 40, slots: int = SLOTS, slot_map:
         "records",
     )
     sizes = slot_sizes(records)
-    slot_map = slot_map or SlotMap.balanced({k: v[0] for k, v in sizes.items()}, shards, slots)
+    by_bytes = {k: v[0] for k, v in sizes.items()}
+    slot_map = slot_map or SlotMap.balanced(by_bytes, shards, slots)
+    if maps and slot_map.shards != shards:
+        slot_map = slot_map.rebalanced(by_bytes, shards)
+    if maps and slot_map is not known:
+        slot_map.write(spark, maps)
     before, begins = [0] * slot_map.shards, []
     for slot, s in enumerate(slot_map.shard_of):
         begins.append((slot, slot_map.version, s, before[s]))
@@ -115,6 +149,7 @@ def shard(documents: DataFrame, shards: int = 40, slots: int = SLOTS, slot_map:
     places = spark.createDataFrame(begins, "virtual_slot int, map_version int, shard int, begin long")
     order = Window.partitionBy("virtual_slot").orderBy("doc_id", "size", "text_crc32")
     numbered = records.withColumn("n", F.row_number().over(order))
-    return numbered.join(F.broadcast(places), "virtual_slot").select(
+    rows = numbered.join(F.broadcast(places), "virtual_slot").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("begin") + F.col("n") - 1).alias("slot"), "virtual_slot", "map_version"
     )
+    return rows, slot_map

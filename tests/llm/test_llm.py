@@ -218,6 +218,19 @@ def test_sharding(docs):
     assert max(totals.values()) - min(totals.values()) < 200
 
 
+def test_sharding_follows_the_kept_map(spark, docs, tmp_path):
+    maps = f"file://{tmp_path}/maps"
+    assert sharding.SlotMap.read(spark, maps) is None
+    rows, first = sharding.placed(docs, 4, 64, maps=maps)
+    assert sharding.SlotMap.read(spark, maps) == first
+    at = {r.doc_id: r.shard for r in rows.collect()}
+    later, followed = sharding.placed(docs.where("doc_id < 20"), 4, 64, maps=maps)
+    assert followed == first and all(at[r.doc_id] == r.shard for r in later.collect())
+    grown = sharding.placed(docs, 5, 64, maps=maps)[1]
+    assert grown.version == 2 and grown.shards == 5
+    assert sharding.SlotMap.read(spark, maps) == grown and sharding.SlotMap.read(spark, maps, 1) == first
+
+
 def test_toxicity(spark):
     rng = random.Random(1)
     rows = [(i, ". ".join(prose(8, rng) for _ in range(4)) + (". you utter grobnik" + rng.choice(["", "ling"]) if i % 3 == 0 else "")) for i in range(300)]
