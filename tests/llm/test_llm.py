@@ -318,3 +318,48 @@ def test_near_stage_decides_by_row(spark):
     rows = [(7, text), (3, near), (3, other), (None, text + " last"), (None, prose(80, random.Random(9))), (9, other), (9, other), (None, "q w e r t y u i"), (None, "q w e r t y u i"), (11, None), (11, "")]
     got = counted(corpus_pipeline.remove_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect())
     assert got == Counter([(3, near), (3, other), rows[4], rows[7], rows[9], rows[10]])
+
+
+def test_pipeline_against_brute_force(spark):
+    """Scores are learned, so the fitted model's are taken; what the stages make of them and of the texts is worked out anew."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.fit(documents, spark.read.parquet(f"{sf}/labels.parquet").where(~toxicity.held_out("doc_id")), label_column="toxic")
+    clean = {r.doc_id for r in toxicity.score(documents, model).collect() if r.score < 0.7}
+    docs = {r.doc_id: r.text for r in documents.collect() if r.doc_id in clean}
+
+    same = defaultdict(list)
+    for i, t in docs.items():
+        same[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((-len(t or ""), i))
+    docs = {i: docs[i] for i in sorted(min(g)[1] for g in same.values())}
+
+    sets = {i: shingles(t, 5) for i, t in docs.items()}
+    label = {i: i for i in docs}
+    for a in docs:
+        for b in docs:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((label[a], label[b]))
+                label = {i: low if x == high else x for i, x in label.items()}
+    docs = {i: t for i, t in docs.items() if label[i] == i}
+
+    find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    spans = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    windows = defaultdict(set)
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        w = find(r.text)
+        if w:
+            windows[min(10, len(w))] |= spans(w, min(10, len(w)))
+    docs = {i: t for i, t in docs.items() if not any(spans(find(t), n) & found for n, found in windows.items())}
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    got = defaultdict(list)
+    for r in corpus_pipeline.run(spark, sf).collect():
+        got[r.doc_id].append((r.start, r.ids))
+    assert 0 < len(docs) < documents.count()
+    assert {i: b"".join(ids for _, ids in sorted(parts)) for i, parts in got.items()} == {
+        i: b"".join(x.to_bytes(4, "little") for x in [*t.encode(x or "", add_special_tokens=False).ids, 0]) for i, x in docs.items()
+    }
