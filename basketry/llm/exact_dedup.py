@@ -10,8 +10,8 @@ grouped by an ordinary shuffle of (digest, id, length); texts are never shuffled
 Null texts count as empty. Rows with a null id take part, ordered behind other ids of the
 same length. Rows that share an id and a text are members of a group each; the one that
 stays is known by its id, so both show as kept, unless a column with a key of each row is
-given: then one row of each group is kept, null and repeated ids included. An empty table gives an empty result.
-Other columns, whatever their names, are left out.
+given: then one row of each group is kept, null and repeated ids included. An empty table
+gives an empty result. Very long texts are hashed whole where they lie. Other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -41,10 +41,10 @@ def exact_duplicates(documents: DataFrame, id_column: str = "doc_id", text_colum
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256. With row_column, a unique number of each row: row_key too, and kept for one row of a group, of equal ids the one with the least key."""
     rows = saved(digests(documents, id_column, text_column, row_column), "digests")
     frequent = rows.freqItems(["text_sha256"], support).select(F.explode("text_sha256_freqItems").alias("text_sha256"))
-    key = [(-F.col("row_key")).alias("row")] if row_column else []
-    best = F.struct(F.col("n"), F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("first"), *key)
-    stays = [(-F.col("best.first")).alias("keep_id"), *([(-F.col("best.row")).alias("keep_row")] if row_column else [])]
-    winner = (F.count(F.lit(1)).alias("group_size"), F.max(best).alias("best"))
+    key = [F.col("row_key").alias("row")] if row_column else []
+    best = F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("first"), *key)
+    stays = [F.col("best.first").alias("keep_id"), *([F.col("best.row").alias("keep_row")] if row_column else [])]
+    winner = (F.count(F.lit(1)).alias("group_size"), F.min(best).alias("best"))
     winners = rows.join(F.broadcast(frequent), "text_sha256", "left_semi").groupBy("text_sha256").agg(*winner)
     winners = saved(winners.select("text_sha256", "group_size", *stays), "winners")
     hot = rows.join(F.broadcast(winners), "text_sha256")
