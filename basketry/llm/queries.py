@@ -100,7 +100,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from basketry.llm._spark import shared_dir
     from basketry.llm.sharding import shard
 
-    maps = f"{shared_dir(spark)}/slot-maps/{hashlib.sha256(sf_dir.encode()).hexdigest()}"
+    maps = f"{shared_dir(spark)}/slot-maps-by-text/{hashlib.sha256(sf_dir.encode()).hexdigest()}"
     out = shard(table(spark, sf_dir, "documents"), shards=40, maps=maps)
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 

@@ -1,19 +1,24 @@
 """Sharding by fixed virtual slots.
 
-A record's id alone decides its slot, one of thousands, for good. Only the map from slots
-to shards is decided by the data: bytes are summed per slot and slots dealt to shards so
-that shards get nearly equal bytes. The map is a small versioned table (one row per slot);
-rebalancing edits it and moves slots, never single records. Versions are written to a
-folder; a run given that folder follows the newest, or writes the first. For another number
-of shards it writes the next version. A version that wasn't written whole is an error.
+A hash of a record's text alone decides its slot, one of thousands, for good; so equal texts
+are together, and stay together when slots move. Only the map from slots to shards is
+decided by the data: bytes are summed per slot and slots dealt to shards so that shards get
+nearly equal bytes (but for a slot that is larger than a shard should be, as one is that
+holds a large group of equal texts: it is a shard's only one then). The map is a small
+versioned table (one row per slot); rebalancing edits it and moves slots, never single
+records. Versions are written to a folder; a run given that folder follows the newest, or
+writes the first. For another number of shards it writes the next version. A version that
+wasn't written whole is an error.
 
 The map has as many rows as there are slots, whatever the input, so it is handled on the
-driver and broadcast. A shard's rows are numbered slot by slot: only a slot's rows, a few
-thousandths of all at most apart from rows that share one id, are ordered in one task.
-
-Null texts have no bytes; a null id is a record like any other. Rows that share an id
-share a slot and are numbered each. An empty table gives an empty result and a map that
-deals slots in turn.
+driver and broadcast. A shard's rows are numbered slot by slot, and a slot with many rows
+part by part: no task numbers more than about a PARTS-th of all rows.
+
+Null texts are empty: they have no bytes and one slot. A null id is a record like any other.
+Ties: rows of equal text, repeated rows and rows that share an id included, share a slot and
+are numbered each, in no set order. Very long texts are hashed whole where they lie; they are
+not shuffled. An empty table gives an empty result and a map that deals slots in turn. Other
+columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -22,18 +27,21 @@ import heapq
 from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketry.llm._spark import saved
 
 SLOTS = 8192
+#: Into how many parts all rows are split at least for numbering.
+PARTS = 1024
 #: Bytes a record has besides its text.
 OVERHEAD = 16
 
 
-def virtual_slot(column: str, slots: int = SLOTS):
-    return F.pmod(F.xxhash64(F.col(column)), F.lit(slots)).cast("int")
+def virtual_slot(text: Column, slots: int = SLOTS) -> Column:
+    """The slot of a text; null counts as empty."""
+    return F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(slots)).cast("int")
 
 
 @dataclass(frozen=True)
@@ -131,7 +139,8 @@ def placed(documents: DataFrame, shards: int = 40, slots: int = SLOTS, slot_map:
             F.col(id_column).alias("doc_id"),
             (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
             F.crc32(text).alias("text_crc32"),
-            virtual_slot(id_column, slots).alias("virtual_slot"),
+            virtual_slot(F.col(text_column), slots).alias("virtual_slot"),
+            F.monotonically_increasing_id().alias("number"),
         ),
         "records",
     )
@@ -142,14 +151,20 @@ def placed(documents: DataFrame, shards: int = 40, slots: int = SLOTS, slot_map:
         slot_map = slot_map.rebalanced(by_bytes, shards)
     if maps and slot_map is not known:
         slot_map.write(spark, maps)
+    each = max(1, -(-sum(n for _, n in sizes.values()) // PARTS))
+    parts = [-(-sizes[x][1] // each) if x in sizes else 1 for x in range(slots)]
+    shard_of = spark.createDataFrame([(x, s, parts[x]) for x, s in enumerate(slot_map.shard_of)], "virtual_slot int, shard int, parts int")
+    dealt = records.join(F.broadcast(shard_of), "virtual_slot").withColumn("part", F.pmod("number", "parts").cast("int"))
+    counts = {(r["virtual_slot"], r["part"]): r["n"] for r in dealt.groupBy("virtual_slot", "part").agg(F.count(F.lit(1)).alias("n")).collect()}
     before, begins = [0] * slot_map.shards, []
     for slot, s in enumerate(slot_map.shard_of):
-        begins.append((slot, slot_map.version, s, before[s]))
-        before[s] += sizes.get(slot, (0, 0))[1]
-    places = spark.createDataFrame(begins, "virtual_slot int, map_version int, shard int, begin long")
-    order = Window.partitionBy("virtual_slot").orderBy("doc_id", "size", "text_crc32")
-    numbered = records.withColumn("n", F.row_number().over(order))
-    rows = numbered.join(F.broadcast(places), "virtual_slot").select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("begin") + F.col("n") - 1).alias("slot"), "virtual_slot", "map_version"
+        for part in range(parts[slot]):
+            begins.append((slot, part, before[s]))
+            before[s] += counts.get((slot, part), 0)
+    places = spark.createDataFrame(begins, "virtual_slot int, part int, begin long")
+    order = Window.partitionBy("virtual_slot", "part").orderBy("number")
+    numbered = dealt.withColumn("n", F.row_number().over(order))
+    rows = numbered.join(F.broadcast(places), ["virtual_slot", "part"]).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("begin") + F.col("n") - 1).alias("slot"), "virtual_slot", F.lit(slot_map.version).alias("map_version")
     )
     return rows, slot_map
