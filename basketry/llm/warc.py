@@ -13,15 +13,23 @@ A file is named anew by every attempt of a task and only named in the index when
 attempt ends well, so lost executors leave unused files at most. Bundles go to the shared
 folder by a file system that the workers open themselves.
 
-A null html is an empty payload, a null url an empty one. Pages with a null id revisit a
-page with an id if one has their payload, else each is a response. Repeated rows of the
-largest id are a response each. An empty table gives an archive without bundles.
+A record's id is unique: a response is named by its page and payload, and every other
+record (revisits, repeated rows, payloads below `least`) by its place. A revisit names its
+response's page, and its record too unless that is a repeated row.
+
+A null html is an empty payload, a null url an empty one; a url with white space or control
+characters is kept beside its escaped form. Pages with a null id revisit a page with an id
+if one has their payload, else each is a response. Ties: repeated rows of the largest id are
+a response each. Payloads of any length are one record in one frame. An empty table gives
+an archive without bundles. Other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import json
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -32,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm._spark import new_path, prepare, saved
+from basketry.llm._spark import new_path, prepare, saved, sized
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 64 << 20
@@ -40,6 +48,11 @@ LEVEL = 3
 # Fixed values of the seekable format: the skippable frame's magic number, the footer's, and the size of the footer.
 SKIPPABLE, SEEKABLE, FOOTER = 0x184D2A5E, 0x8F92EAB1, 9
 
+#: What a header's line can't hold, or not at its ends.
+_UNSAFE = re.compile(r"[\s\x00-\x1f\x7f]+")
+#: Pages that don't stand by themselves up to which they are broadcast.
+BROADCAST_PAGES = 200_000
+
 INDEX = "page_id long, record_id string, bundle string, frame int, frame_offset long, record_bytes long"
 
 
@@ -54,18 +67,24 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None, date: str) -> tuple[str, bytes]:
-    """A record's id and bytes; a revisit has the payload's HTTP header alone."""
-    rid = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{url}')}>"
+def named(page_id: int | None, sha1: str) -> str:
+    """The record id of the only response of a page and payload."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{sha1}')}>"
+
+
+def record(rid: str, page_id: int | None, url: str, payload: bytes, refers_to: int | None, original: str | None, date: str) -> bytes:
+    """A record's bytes; a revisit (one that refers to a page) has the payload's HTTP header alone. original: the record that it refers to, if its id is known."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {rid}", f"WARC-Date: {date}"]
-    head.append("WARC-Target-URI: " + " ".join(url.split()))
+    escaped = _UNSAFE.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url)
+    head += [f"WARC-Target-URI: {escaped}"] + ([f"WARC-Page-URL: {json.dumps(url)}"] if escaped != url else [])
     head += [] if page_id is None else [f"WARC-Page-ID: {page_id}"]
     if refers_to is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Page: {refers_to}"]
+        head += [f"WARC-Refers-To: {original}"] if original else []
     head += [f"WARC-Payload-Digest: sha1:{digest(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-    return rid, "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 class Bundle:
@@ -74,10 +93,11 @@ class Bundle:
     def __init__(self, file):
         self.file, self.sizes, self.pending = file, [], bytearray()
         self.compressor = zstandard.ZstdCompressor(level=LEVEL)
-        self.written = 0
+        self.written = self.records = 0
 
     def add(self, data: bytes) -> tuple[int, int]:
         """The frame and the offset in it that the data goes to."""
+        self.records += 1
         if self.pending and len(self.pending) + len(data) > FRAME_BYTES:
             self.flush()
         place = len(self.sizes), len(self.pending)
@@ -138,10 +158,16 @@ def write_archives(pages: DataFrame, path: str | None = None, least: int = 0, da
     rows = pages.select(F.col(id_column).cast("long").alias("page_id"), F.coalesce(F.col(url_column), F.lit("")).alias("url"), payload.alias("html"))
     known = rows.select("page_id", F.sha1(F.encode("html", "utf-8")).alias("sha1"), F.octet_length("html").alias("bytes")).where(F.col("bytes") >= least)
     known = saved(known, "payloads")
-    first = known.groupBy("sha1", "bytes").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 AND refers_to IS NOT NULL")
-    revisits = known.join(first, ["sha1", "bytes"]).where("NOT page_id <=> refers_to")
-    revisits = saved(revisits.select(F.col("page_id").alias("id"), "sha1", "refers_to").distinct(), "revisits")
-    rows = rows.join(revisits, rows["page_id"].eqNullSafe(revisits["id"]) & (F.sha1(F.encode("html", "utf-8")) == revisits["sha1"]), "left").select("page_id", "url", "html", "refers_to")
+    each = known.groupBy("sha1", "bytes", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    first = each.groupBy("sha1", "bytes").agg(F.max(F.struct("page_id", "n")).alias("top"), F.sum("n").alias("rows")).where("rows > 1").select("sha1", "bytes", "top.*")
+    first = first.select("sha1", "bytes", F.col("page_id").alias("refers_to"), (F.col("n") == 1).alias("single"))
+    # What isn't the only response of its page and payload: revisits, and repeated rows.
+    other = each.join(first, ["sha1", "bytes"]).where("NOT page_id <=> refers_to OR n > 1")
+    other = other.select(F.col("page_id").alias("id"), F.unhex("sha1").alias("of"), F.when(~F.col("page_id").eqNullSafe(F.col("refers_to")), F.col("refers_to")).alias("refers_to"), "single")
+    other = saved(other, "others")
+    rows = rows.select("*", F.unhex(F.sha1(F.encode("html", "utf-8"))).alias("digest"))
+    rows = rows.join(sized(other, BROADCAST_PAGES), rows["page_id"].eqNullSafe(other["id"]) & (rows["digest"] == other["of"]), "left")
+    rows = rows.select("page_id", "url", "html", "refers_to", F.hex("digest").alias("sha1"), ((F.octet_length("html") < least) | F.col("of").isNotNull()).alias("by_place"), "single")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, folder = fs.FileSystem.from_uri(path)
@@ -150,11 +176,12 @@ def write_archives(pages: DataFrame, path: str | None = None, least: int = 0, da
         schema = pa.schema([("page_id", pa.int64()), ("record_id", pa.string()), ("bundle", pa.string()), ("frame", pa.int32()), ("frame_offset", pa.int64()), ("record_bytes", pa.int64())])
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                for page, url, html, refers in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                for page, url, html, refers, sha1, by_place, single in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
                     if bundle is None:
                         name = f"{uuid.uuid4().hex}.warc.zst"
                         bundle = Bundle(system.open_output_stream(f"{folder}/{name}", compression=None))
-                    rid, data = record(page, url, html.encode(), refers, date)
+                    rid = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'place:{name}:{bundle.records}')}>" if by_place else named(page, sha1)
+                    data = record(rid, page, url, html.encode(), refers, named(refers, sha1) if single and refers is not None else None, date)
                     out.append((page, rid, name, *bundle.add(data), len(data)))
                     if bundle.written > BUNDLE_BYTES:
                         bundle.close()
@@ -190,11 +217,13 @@ def read_archives(spark: SparkSession, archive: Archive) -> DataFrame:
                             if response and (len(payload), digest(payload)) != (size, sha1):
                                 raise ValueError(f"damaged record in {name}, frame {number}")
                             page, refers = head.get("WARC-Page-ID"), head.get("WARC-Refers-To-Page")
-                            out.append((page and int(page), head["WARC-Target-URI"], payload if response else None, size, sha1, head["WARC-Type"], refers and int(refers), name, number, at))
+                            url = json.loads(head["WARC-Page-URL"]) if "WARC-Page-URL" in head else head["WARC-Target-URI"]
+                            out.append((page and int(page), url, payload if response else None, size, sha1, head["WARC-Type"], refers and int(refers), name, number, at))
                             at = after
                         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], f.type) for k, f in enumerate(schema)], schema=schema)
 
     bundles = archive.index.select("bundle").distinct()
+    bundles = bundles.repartition(max(1, bundles.count()))  # a task for each
     return bundles.mapInArrow(read, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long, bundle string, frame int, frame_offset long")
 
 
