@@ -2,8 +2,9 @@
 
 Texts are handled as UTF-8 bytes: the separators of every word class used here are
 ASCII, so splitting bytes and splitting characters agree. Work goes in slices of whole
-documents of about SLICE bytes, which bounds the arrays; only a single document that is
-longer than that makes a larger slice.
+documents of about SLICE bytes. A document that is longer than that makes a slice of its
+own, and its words are found part by part, so that besides the document itself only
+numbers for each of its words are held.
 """
 
 from __future__ import annotations
@@ -75,8 +76,37 @@ def slices(off: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
+def _parts(seg: np.ndarray, is_word: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of a text's bytes, of about SLICE each, that cut no word."""
+    lo, n = 0, len(seg)
+    while lo < n:
+        hi = min(lo + SLICE, n)
+        while hi < n:
+            gap = np.flatnonzero(~is_word[seg[hi : hi + SLICE]])
+            hi += int(gap[0]) if len(gap) else min(SLICE, n - hi)
+            if len(gap):
+                break
+        yield lo, hi
+        lo = hi
+
+
 def words(data: np.ndarray, off: np.ndarray, lo: int, hi: int, is_word: np.ndarray, fold: np.ndarray = _LOWER, prefixes: tuple[int, ...] = ()) -> tuple:
-    """Of rows lo to hi: the hashes of their words with A-Z lower-cased (or bytes folded by another table), where each row's words begin (hi - lo + 1 numbers), and the words' first and end bytes, counted from the slice's start. With prefixes: also, for each of those numbers of bytes, the words that are longer and the hashes of their beginnings."""
+    """Of rows lo to hi: the hashes of their words with A-Z lower-cased (or bytes folded by another table), where each row's words begin (hi - lo + 1 numbers), and the words' first and end bytes, counted from the slice's start. With prefixes: also, for each of those numbers of characters, the words that are longer and the hashes of their beginnings."""
+    if hi - lo > 1 or off[hi] - off[lo] <= 2 * SLICE:
+        return _words(data, off, lo, hi, is_word, fold, prefixes)
+    found: list[list] = [[] for _ in range(3 + 2 * len(prefixes))]
+    count, base = 0, int(off[lo])
+    for a, b in _parts(data[base : off[hi]], is_word):
+        h, _, first, end, *more = _words(data, np.array([base + a, base + b]), 0, 1, is_word, fold, prefixes)
+        for column, x in zip(found, (h, first + a, end + a, *(y for which, hashes in more for y in (which + count, hashes)))):
+            column.append(x)
+        count += len(h)
+    h, first, end, *more = (np.concatenate(x) for x in found)
+    return h, np.array([0, len(h)]), first, end, *zip(more[::2], more[1::2])
+
+
+def _words(data: np.ndarray, off: np.ndarray, lo: int, hi: int, is_word: np.ndarray, fold: np.ndarray, prefixes: tuple[int, ...]) -> tuple:
+    """words() for a slice that is taken at once."""
     base = off[lo]
     seg, starts = data[base : off[hi]], off[lo : hi + 1] - base
     n = len(seg)
@@ -96,9 +126,14 @@ def words(data: np.ndarray, off: np.ndarray, lo: int, hi: int, is_word: np.ndarr
     np.cumsum(_BYTE[fold][seg] * up[:n], out=sums[1:])
     h = mix((sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64))
     more = []
+    if prefixes:
+        whole = (seg & 0xC0) != 0x80
+        begin = np.flatnonzero(whole)
+        count = np.cumsum(whole)
+        char, chars = count[first] - 1, count[end - 1] - count[first] + 1
     for k in prefixes:
-        long = np.flatnonzero(end - first > k)
-        more.append((long, mix((sums[first[long] + k] - sums[first[long]]) * down[first[long]] + U(1 << 32 | k))))
+        long = np.flatnonzero(chars > k)
+        more.append((long, mix((sums[begin[char[long] + k]] - sums[first[long]]) * down[first[long]] + U(1 << 32 | k))))
     return h, np.searchsorted(first, starts), first, end, *more
 
 

@@ -1,20 +1,24 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A logistic model scores every sentence by its words and
-their beginnings, each once; a document's score is the noisy-or of its sentences' scores, one minus
+A document is a bag of sentences. A logistic model scores every sentence by its words, their
+beginnings and the beginnings that come again in it, each once; a document's score is the noisy-or of its sentences' scores, one minus
 the product of their complements. Only documents have labels: the gradient of the
 document's likelihood is shared out among its sentences, so the model learns which of them
 offend, and the sentence with the highest score is reported with its place.
 
-Training takes a bounded sample of labelled documents (POSITIVES and NEGATIVES are the
-bounds; the first by a hash of the id), on the driver. Features are chosen by how much
-more often labelled documents hold them; FEATURES bounds the model that is sent out.
-Scoring covers every document whole, in one pass without a shuffle.
+Training takes a bounded sample of labelled documents, on the driver: POSITIVES and
+NEGATIVES bound their number (the first by a hash of the id) and BYTES their texts (short
+ones first, each whole). Features are chosen by how much more often documents labelled 1
+hold them; FEATURES bounds the model that is sent out. Positive documents weigh WEIGHT times
+as much as others. That weight and PREFIXES were chosen by cross-validation within rows that
+aren't held out. Scoring covers every document whole, in one pass without a shuffle.
 
 Null and empty texts have no sentences and the score 0. Null labels and labels of unknown
-documents are left out; of several labels of one id the highest holds. Without a positive
-label every score is near 0. Repeated rows are scored each; null ids too. Other columns,
-with whatever names, are left out.
+documents are left out; of several labels of one id the highest holds, and of several texts
+of a labelled id one is learned from. Without a positive label every score is near 0.
+Repeated rows are scored each; null ids too. Of sentences that tie for the highest score
+the first is reported. Very long texts are scored whole. No documents: an empty result.
+Other columns, with whatever names, are left out.
 """
 
 from __future__ import annotations
@@ -33,7 +37,12 @@ from basketry.llm._text import ALNUM, slices, utf8, words
 POSITIVES, NEGATIVES, FEATURES = 1500, 3000, 4000
 #: Association (chi-square) from which a feature is used.
 LEAST_CHI2 = 24.0
-PREFIXES = (4, 5)
+#: Bytes of the sample's texts.
+BYTES = 64 << 20
+#: Characters of words' beginnings; those of the first two numbers count again when they come again in a sentence.
+PREFIXES = (4, 5, 6, 7)
+WEIGHT = 5.0
+_AGAIN = np.uint64(0x5555)
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?\n"]] = True
 
@@ -73,7 +82,13 @@ def _sentences(data: np.ndarray, off: np.ndarray, lo: int, hi: int) -> tuple[np.
     row = np.repeat(np.arange(hi - lo), np.diff(at))
     mark = stops[first] + row if len(first) else np.zeros(0, np.int64)
     number = np.cumsum(np.diff(mark, prepend=mark[:1]) != 0) if len(mark) else mark
-    return at, number, [(np.arange(len(h)), h), *more], first, end
+    again = []
+    for which, value in more[:2]:
+        order = np.lexsort((which, value, number[which]))
+        a, b = order[:-1], order[1:]
+        which, value = ((x[b])[(number[which[a]] == number[which[b]]) & (value[a] == value[b])] for x in (which, value))
+        again.append((which, value ^ _AGAIN))
+    return at, number, [(np.arange(len(h)), h), *more, *again], first, end
 
 
 def fit(documents: DataFrame, labels: DataFrame, label_column: str = "toxic", id_column: str = "doc_id", text_column: str = "text", positives: int = POSITIVES, negatives: int = NEGATIVES, steps: int = 500) -> Model:
@@ -83,15 +98,28 @@ def fit(documents: DataFrame, labels: DataFrame, label_column: str = "toxic", id
     known = known.cache()
     order = (F.xxhash64("id"), "id")
     ids = known.where("y = 1").orderBy(*order).limit(positives).unionByName(known.where("y = 0").orderBy(*order).limit(negatives))
-    texts = documents.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(ids), "id").select("id", "y", "text").toArrow()
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    texts = documents.select(F.col(id_column).alias("id"), text.alias("text"), F.octet_length(text).alias("bytes"))
+    # One row of each id, the one whose text has the least hash; then whole texts, short ones first, up to BYTES.
+    found = texts.join(F.broadcast(ids), "id").select("id", "y", "bytes", F.struct(F.xxhash64("text").alias("hash"), "text").alias("row"))
+    found = found.groupBy("id", "y").agg(F.min(F.struct("row.hash", "bytes")).alias("first"))
+    kept, total = [], 0
+    for r in sorted(found.select("id", "y", "first.hash", "first.bytes").collect(), key=lambda r: (r["bytes"], r["hash"])):
+        if (total := total + r["bytes"]) > BYTES:
+            break
+        kept.append((r["id"], r["y"], r["hash"]))
     known.unpersist()
-    sample = sample.sort_by([("id", "ascending"), ("text", "ascending")])
-    y = np.array(sample.column("y").to_pylist(), np.int64)
-    if not y.any() or y.all():
+    if not any(y for _, y, _ in kept) or all(y for _, y, _ in kept):
         return Model(np.zeros(0, np.uint64), np.zeros(0), -20.0)
+    chosen = documents.sparkSession.createDataFrame(kept, found.select("id", "y", F.col("first.hash").alias("hash")).schema)
+    sample = texts.join(F.broadcast(chosen), "id").where(F.xxhash64("text") == F.col("hash")).dropDuplicates(["id"]).select("id", "y", "text").toArrow()
+    sample = sample.sort_by([("id", "ascending")])
+    return learn(np.array(sample.column("y").to_pylist(), np.int64), sample.column("text"), steps)
 
-    data, off = utf8(sample.column("text"))
+
+def learn(y: np.ndarray, texts: pa.ChunkedArray | pa.Array, steps: int = 500) -> Model:
+    """A model of texts and their labels, some of either."""
+    data, off = utf8(texts)
 
     def documents_of(rows: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
         """Of chosen rows: the row, its feature hashes, their sentences, and how many sentences it has. Nothing is kept."""
@@ -134,7 +162,7 @@ def fit(documents: DataFrame, labels: DataFrame, label_column: str = "toxic", id
         ps, p0 = 1 / (1 + np.exp(-np.clip(z, -30, 30))), 1 / (1 + np.exp(-bias))
         log_clean = np.bincount(of, np.log1p(-np.minimum(ps, 1 - 1e-12)), len(y)) + bare * np.log1p(-p0)
         clean = np.exp(log_clean)
-        pull = np.where(y == 1, -clean / np.maximum(1 - clean, 1e-9), 1.0)
+        pull = np.where(y == 1, -WEIGHT * clean / np.maximum(1 - clean, 1e-9), 1.0)
         gz = pull[of] * ps
         grad = np.concatenate([np.bincount(feature, gz[row], len(w)) / len(y) + 1e-6 * w, [gz.sum() / len(y) + (pull * bare).sum() * p0 / len(y)]])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
