@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from basketry.functions.text import to_ascii
+
 # Prefixes, excluded terms, sizes, and canonical names in the order in which they apply.
 BRAND_PREFIXES = ["great-value-", "gv-", "seg-", "se-grocers-", "marketside-", "sam-s-choice-", "equate-", "parent-s-choice-", "member-s-mark-", "kirkland-", "know-and-love-", "walmart-", "kgl-", "kand1", "kandl", "wr-"]
 EXCLUDED_TERMS = ["shirt", "joggers", "underwear", "sandals", "socks", "toy", "doll", "game", "plush", "fleece", "cleaner", "shorts", "pants", "mens", "birthday", "christmas", "halloween", "greeting-cards", "greeting", "hallmark", "sleeves"]
@@ -41,13 +43,12 @@ CANONICAL_RULES = [
     ("aluminum-foil", ["aluminum-foil", "foil"]),
     ("sour-cream", ["sour-cream"]),
 ]
-ACCENTED, PLAIN = "áàâäãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 
 
 def clean_item_name(c: Column) -> Column:
-    """Lower case, no accents, no punctuation, sizes or numbers, words joined by '-'; null becomes ''."""
-    s = F.translate(F.lower(F.coalesce(c, F.lit(""))), ACCENTED, PLAIN)
-    for pattern, new in ((r"[^\x00-\x7F]", ""), ("&", " and "), (r"[^\w\s]", " "), ("[_/]", " "), (SIZE, " "), (r"\b\d+\b", " "), (r"\s+", " ")):
+    """Lower case, in plain ASCII letters, no punctuation, sizes or numbers, words joined by '-'; null becomes ''."""
+    s = to_ascii(F.lower(F.coalesce(c, F.lit(""))))
+    for pattern, new in (("&", " and "), (r"[^\w\s]", " "), ("[_/]", " "), (SIZE, " "), (r"\b\d+\b", " "), (r"\s+", " ")):
         s = F.regexp_replace(s, pattern, new)
     return F.replace(F.trim(s), F.lit(" "), F.lit("-"))
 
@@ -71,8 +72,23 @@ def contains_any(c: Column, terms: list[str] = EXCLUDED_TERMS) -> Column:
     return F.exists(F.array(*(F.lit(t.lower()) for t in terms)), lambda t: F.contains(lower, t))
 
 
+def lacks_all(c: Column, literals: tuple[str, ...] = (), patterns: tuple[str, ...] = ()) -> Column:
+    """True where no literal and no pattern occurs, whatever the case; null texts are kept."""
+    found = F.lit(False)
+    for x in literals:
+        found = found | F.contains(F.lower(c), F.lit(x.lower()))
+    for x in patterns:
+        found = found | c.rlike(f"(?i){x}")
+    return ~F.coalesce(found, F.lit(False))
+
+
+def canonicalize_by_pattern(c: Column, rules: list[tuple[str, list[str]]]) -> Column:
+    """Like canonicalize, but a rule's terms are regular expressions; case doesn't count."""
+    for name, patterns in rules:
+        c = F.when(c.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)), F.lit(name)).otherwise(c)
+    return c
+
+
 def cache_key(c: Column) -> Column:
     """Lower case, only letters, digits and single spaces; null becomes ''."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9\\s]", ""), "\\s+", " "))
-
-

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DATE_TIME = r"(\d{1,2}/\d{1,2}/\d{2,4})(?:,)?(?: at)? ?(\d{1,2}:\d{2} ?(?:[AaPp][Mm])?)"
-ITEM_LINE = r"^(?:QTY (\d+) )?(.+?) \$?(\d+\.\d{2}) \$?(\d+\.\d{2})(?: [A-Z])?$"
-OCR_QTY = r"(?i)^[qo]ty[-\s]*(\d+)[-\s]*(.+)$"
-STOP = r"(?i)total (?:number of )?items sold\D*(\d+)"
+from basketry.functions.text import compatible
+
+# What a receipt's lines look like. White space is one space by then.
+DATE_TIME = r"(?i)(\d{1,2}/\d{1,2}/\d{2,4}) *(?:,? *at +)?(\d{1,2}:\d{2}(?: *[ap]m)?)"
+HEADER, STRICT_HEADER = "(?i)Reg +You *Pay", "(?i)^Reg +You +Pay$"
+ITEM_LINE = r"(?i)^(?:QTY *(\d+) +)?(.*?) \$(\d+\.\d{2}) \$(\d+\.\d{2})(?: [A-Z])?$"
+OCR_QTY = r"(?i)^[qo]ty[- ]*(\d+) *-? *(.+)$"
+STOP = r"(?i)\btotal *(?:number *of *)?items *sold\b[^0-9]*([0-9]+)"
 
 
 def read_receipts(spark: SparkSession, *paths: str) -> DataFrame:
@@ -24,11 +28,11 @@ def clean_name(c):
     return F.lower(s)
 
 
-def parse(receipts: DataFrame) -> DataFrame:
-    """(source, value) to (source, date, time, manager, cashier, reported, items, validation)."""
-    lines = F.filter(F.transform(F.split("value", r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+def parse(receipts: DataFrame, strict: bool = False) -> DataFrame:
+    """(source, value) to (source, date, time, manager, cashier, reported, items, validation). strict: the header is a line of its own, and names are left as they are, without amends of quantities."""
+    lines = F.filter(F.transform(F.split(compatible(F.col("value")), r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
     df = receipts.select("source", lines.alias("lines")).withColumn("text", F.array_join("lines", "\n"))
-    header = F.array_position(F.transform("lines", lambda x: x.rlike("(?i)Reg You Pay")), F.lit(True))
+    header = F.array_position(F.transform("lines", lambda x: x.rlike(STRICT_HEADER if strict else HEADER)), F.lit(True))
     df = df.withColumn("header", header.cast("int"))
     body = F.when(F.col("header") > 0, F.slice("lines", F.col("header") + 1, F.size("lines"))).otherwise(F.array().cast("array<string>"))
     df = df.withColumn("body", body)
@@ -36,13 +40,14 @@ def parse(receipts: DataFrame) -> DataFrame:
     df = df.withColumn("stop", stop)
     reported = F.when(F.col("stop") > 0, F.regexp_extract(F.element_at("body", F.col("stop")), STOP, 1).cast("int"))
     rows = F.when(F.col("stop") > 0, F.slice("body", 1, F.col("stop") - 1)).otherwise(F.col("body"))
-    wanted = F.filter(rows, lambda x: x.rlike(ITEM_LINE) & ~x.rlike("(?i)^you save") & ~x.rlike("(?i)CPN SCANNED COUPON"))
+    wanted = F.filter(rows, lambda x: x.rlike(ITEM_LINE) & ~x.rlike(r"(?i)^you *save\b") & ~x.rlike("(?i)^CPN SCANNED COUPON"))
 
     def item(x):
         name, qty = F.regexp_extract(x, ITEM_LINE, 2), F.regexp_extract(x, ITEM_LINE, 1)
-        ocr = name.rlike(OCR_QTY)
+        ocr = F.lit(False) if strict else name.rlike(OCR_QTY)
+        clean = (lambda c: c) if strict else clean_name
         return F.struct(
-            clean_name(F.when(ocr, F.regexp_extract(name, OCR_QTY, 2)).otherwise(name)).alias("item"),
+            clean(F.when(ocr, F.regexp_extract(name, OCR_QTY, 2)).otherwise(name)).alias("item"),
             F.when(ocr, F.regexp_extract(name, OCR_QTY, 1).try_cast("int")).otherwise(F.coalesce(qty.try_cast("int"), F.lit(1))).alias("qty"),
             F.regexp_extract(x, ITEM_LINE, 3).cast("double").alias("reg"),
             F.regexp_extract(x, ITEM_LINE, 4).cast("double").alias("youPay"),
@@ -50,7 +55,7 @@ def parse(receipts: DataFrame) -> DataFrame:
 
     found = lambda p, k: F.nullif(F.trim(F.regexp_extract("text", p, k)), F.lit(""))
     df = df.select(
-        "source", found(DATE_TIME, 1).alias("date"), found(DATE_TIME, 2).alias("time"), found(r"(?i)Store Manager:? *([^\n]+)", 1).alias("manager"), found(r"(?i)Your Cashier:? *([^\n]+)", 1).alias("cashier"), reported.alias("reported"), F.transform(wanted, item).alias("items")
+        "source", found(DATE_TIME, 1).alias("date"), found(DATE_TIME, 2).alias("time"), found(r"(?i)store *manager *: *([^\n]+)", 1).alias("manager"), found(r"(?i)your *cashier *: *([^\n]+)", 1).alias("cashier"), reported.alias("reported"), F.transform(wanted, item).alias("items")
     )
     total = F.aggregate("items", F.lit(0), lambda a, x: a + x["qty"])
     same = lambda n: F.coalesce(n == F.col("reported"), F.lit(False))
