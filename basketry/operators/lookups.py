@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketry.operators.items import numbered
+
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
@@ -17,12 +19,16 @@ def first_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return first.select(*keys, *(F.col("_first")[c].alias(c) for c in (*order, *rest))).select(*df.columns)
 
 
-def append_ids(dictionary: DataFrame, items: DataFrame) -> DataFrame:
-    """The dictionary (item, item_id) with ids for items that it lacks, from its highest id on, by name. A row per item, not per event."""
+def append_ids(dictionary: DataFrame, items: DataFrame, allow_new: bool = True) -> DataFrame:
+    """The dictionary (item, item_id) with ids for items that it lacks, from its highest id on, by name; without allow_new such an item is an error. A row per item, not per event."""
     fresh = items.select("item").where("item IS NOT NULL").distinct().join(dictionary, "item", "left_anti")
+    if not allow_new:
+        if (one := fresh.first()) is not None:
+            raise ValueError(f"items that the dictionary lacks, such as {one['item']!r}")
+        return dictionary.select("item", F.col("item_id").cast("long"))
     top = dictionary.agg(F.coalesce(F.max("item_id"), F.lit(-1)).cast("long").alias("top"))
-    numbered = fresh.withColumn("n", F.row_number().over(Window.orderBy("item"))).crossJoin(F.broadcast(top))
-    return dictionary.select("item", F.col("item_id").cast("long")).unionByName(numbered.select("item", (F.col("top") + F.col("n")).alias("item_id")))
+    added = numbered(fresh, ["item"], [F.substring("item", 1, 3)]).crossJoin(F.broadcast(top))
+    return dictionary.select("item", F.col("item_id").cast("long")).unionByName(added.select("item", (F.col("top") + 1 + F.col("n")).alias("item_id")))
 
 
 def vocabulary_check(dictionary: DataFrame) -> DataFrame:
@@ -68,3 +74,29 @@ def first_number(c: Column) -> Column:
 def at_time(date: Column, time: Column, form: str = "M/d/yyyy h:mm a") -> Column:
     """A timestamp of a date's and a time's text; null where they are none."""
     return F.try_to_timestamp(F.concat_ws(" ", date, time), F.lit(form))
+
+
+def category_flags(rows: DataFrame, key: str, categories: str, known: list[str] | None = None) -> DataFrame:
+    """Of (key, categories: array): a row per key with a 0/1 column is_<category> for each known one, in order. Known ones are those given, which grow by what the rows hold: a dimension, found in a pass of its own."""
+    each = rows.select(key, F.explode(categories).alias("category")).where("category IS NOT NULL").select(key, F.replace(F.lower("category"), F.lit(" "), F.lit("_")).alias("category"))
+    names = sorted({*(known or []), *(r[0] for r in each.select("category").distinct().collect())})
+    held = each.groupBy(key).agg(F.collect_set("category").alias("_held"))
+    joined = rows.select(key).distinct().join(held, key, "left")
+    return joined.select(key, *(F.coalesce(F.array_contains("_held", c), F.lit(False)).cast("int").alias(f"is_{c}") for c in names))
+
+
+def columns_of_type(df: DataFrame, *kinds: str) -> list[str]:
+    """Names of the columns whose type is one of the kinds, such as double or string; "number" stands for all numbers."""
+    numbers = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+    wanted = tuple(x for k in kinds for x in (numbers if k == "number" else (k,)))
+    return [c for c, t in df.dtypes if t.split("(")[0] in wanted]
+
+
+def distinct_elements(df: DataFrame, column: str) -> DataFrame:
+    """(column): the different elements of an array column."""
+    return df.select(F.explode(column).alias(column)).distinct()
+
+
+def first_in_order(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows in an order: a top-n report, not a sample."""
+    return df.orderBy(*order).limit(n)

@@ -21,11 +21,15 @@ def item_days(events: DataFrame) -> DataFrame:
 
 
 def negative_samples(days: DataFrame) -> DataFrame:
-    """A row for every observed day from each item's first purchase on; buy is 1 where it was bought."""
+    """A row for every observed day from each item's first purchase on, with its number (day); buy is 1 where it was bought.
+
+    What is broadcast is the calendar of observed days, in one row.
+    """
     first = days.groupBy("item_id").agg(F.min("d").alias("first_d"))
-    observed = days.select("d").distinct()
-    grid = first.join(observed, observed["d"] >= first["first_d"]).select("item_id", "d")
-    return grid.join(days, ["item_id", "d"], "left").select("item_id", "d", "qty", F.when(F.col("qty").isNull(), 0).otherwise(1).alias("buy"), F.when(F.col("qty").isNull(), NEGATIVE).otherwise("event").alias("source"))
+    observed = days.select("d").distinct().agg(F.array_sort(F.collect_list("d")).alias("observed"))
+    since = F.filter("observed", lambda x: x >= F.col("first_d"))
+    grid = first.crossJoin(F.broadcast(observed)).select("item_id", F.explode(since).alias("d"))
+    return grid.join(days, ["item_id", "d"], "left").select("item_id", "d", F.unix_date("d").alias("day"), "qty", F.when(F.col("qty").isNull(), 0).otherwise(1).alias("buy"), F.when(F.col("qty").isNull(), NEGATIVE).otherwise("event").alias("source"))
 
 
 def full_calendar(days: DataFrame, length: int = 365) -> DataFrame:
@@ -33,7 +37,7 @@ def full_calendar(days: DataFrame, length: int = 365) -> DataFrame:
     end = days.agg(F.max("d").alias("end"))
     calendar = end.select(F.explode(F.sequence(F.date_sub("end", length - 1), F.col("end"))).alias("d"))
     grid = days.select("item_id").distinct().crossJoin(F.broadcast(calendar))
-    return grid.join(days, ["item_id", "d"], "left").select("item_id", "d", "qty", F.when(F.col("qty").isNull(), 0).otherwise(1).alias("buy"))
+    return grid.join(days, ["item_id", "d"], "left").select("item_id", "d", F.unix_date("d").alias("day"), "qty", F.when(F.col("qty").isNull(), 0).otherwise(1).alias("buy"))
 
 
 def cross_grid(days: DataFrame) -> DataFrame:
@@ -45,3 +49,11 @@ def synthetic_purchases(averages: DataFrame, start: str, stop: str, fuzz: int =
     dates = F.expr(f"explode(sequence(date'{start}', date'{stop}', make_interval(0, 0, 0, cast(greatest(1, round(gap)) AS int))))")
     rows = averages.where("gap > 0").select("item_id", dates.alias("day"))
     return rows.select("item_id", F.date_add("day", (F.floor(F.rand(seed) * (2 * fuzz + 1)) - fuzz).cast("int")).alias("d"), F.lit(1).alias("buy"), F.lit("_synthetic_").alias("source"))
+
+
+def synthetic_purchases_of(averages: DataFrame, start: str, n: int, fuzz: int = 3, seed: int = 7) -> DataFrame:
+    """Of (item_id, gap): n purchases from start on, every gap days, moved by up to fuzz days at random."""
+    number = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("n")
+    rows = averages.where("gap > 0").select("item_id", "gap", number) if n > 0 else averages.select("item_id", "gap", F.lit(0).alias("n")).limit(0)
+    day = F.date_add(F.lit(start).cast("date"), F.floor(F.col("n") * F.col("gap")).cast("int"))
+    return rows.select("item_id", F.date_add(day, (F.floor(F.rand(seed) * (2 * fuzz + 1)) - fuzz).cast("int")).alias("d"), F.lit(1).alias("buy"), F.lit("_synthetic_").alias("source"))

@@ -1,12 +1,20 @@
-"""Recency, gaps and frequencies. All windows of an item share one shuffle and one sort."""
+"""Recency, gaps and frequencies. All windows of an item are in the order of `day`, a number, so they share one shuffle and one sort."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
+def dated(rows: DataFrame) -> DataFrame:
+    """Adds day, the number of d, which the windows need."""
+    return rows if "day" in rows.columns else rows.withColumn("day", F.unix_date("d"))
+
+
 def item():
-    return Window.partitionBy("item_id").orderBy("d")
+    return Window.partitionBy("item_id").orderBy("day")
 
 
 def so_far():
@@ -26,8 +34,8 @@ def last_purchase(window) -> Column:
 
 
 def with_gaps(panel: DataFrame) -> DataFrame:
-    """Adds prev (the purchase before this row) and gap (days since it, on purchases)."""
-    return panel.withColumn("prev", last_purchase(before())).withColumn("gap", F.when(bought(), F.datediff("d", "prev")))
+    """Adds day, prev (the purchase before this row) and gap (days since it, on purchases)."""
+    return dated(panel).withColumn("prev", last_purchase(before())).withColumn("gap", F.when(bought(), F.datediff("d", "prev")))
 
 
 def days_since_exclusive(never: int = 0) -> Column:
@@ -43,11 +51,20 @@ def average_gap() -> Column:
     return F.coalesce(F.avg("gap").over(so_far()), F.lit(0.0))
 
 
-def ewma_gap(alpha: float = 0.3) -> Column:
-    """Exponentially weighted gap, needs gap: the first gap, then alpha of the new and the rest of the old. Exact and in order."""
-    gaps = F.collect_list(F.col("gap").cast("double")).over(so_far())
-    folded = F.aggregate(gaps, F.lit(None).cast("double"), lambda acc, x: F.when(acc.isNull(), x).otherwise(alpha * x + (1 - alpha) * acc))
-    return F.coalesce(folded, F.lit(0.0))
+def with_ewma_gap(rows: DataFrame, alpha: float = 0.3, name: str = "ewma") -> DataFrame:
+    """Adds the exponentially weighted gap, in order: the first gap, then alpha of the new and the rest of the old; 0 before. Needs gap.
+
+    It is worked out on purchases alone, each from so many gaps before it that what is left
+    out weighs less than a double can tell, and carried on to the rows until the next one:
+    work is in proportion to the rows, however long an item's history is.
+    """
+    gaps = 1 if alpha == 1 else math.ceil(math.log(1e-18) / math.log(1 - alpha))
+    near = F.collect_list(F.col("gap").cast("double")).over(item().rowsBetween(1 - gaps, 0))
+    folded = F.aggregate(near, F.lit(None).cast("double"), lambda acc, x: F.when(acc.isNull(), x).otherwise(alpha * x + (1 - alpha) * acc))
+    at = rows.where("gap IS NOT NULL").select("item_id", F.col("day").alias("_last"), folded.alias(name))
+    last = F.last(F.when(bought(), F.col("day")), ignorenulls=True).over(so_far())
+    joined = rows.withColumn("_last", last).join(at, ["item_id", "_last"], "left")
+    return joined.select(*rows.columns, F.coalesce(name, F.lit(0.0)).alias(name))
 
 
 def purchases_so_far() -> Column:
@@ -55,15 +72,15 @@ def purchases_so_far() -> Column:
 
 
 def frequency(days: int, exclusive: bool = False) -> Column:
-    """Purchases from `days` days ago to today; exclusive: strictly between."""
-    w = Window.partitionBy("item_id").orderBy(F.unix_date("d"))
-    w = w.rangeBetween(-(days - 1), -1) if exclusive else w.rangeBetween(-days, 0)
+    """Purchases from `days` days ago to today; exclusive: strictly between. Needs day."""
+    w = item().rangeBetween(-(days - 1), -1) if exclusive else item().rangeBetween(-days, 0)
     return F.coalesce(F.sum("buy").over(w), F.lit(0)).cast("long")
 
 
 def latest(panel: DataFrame) -> DataFrame:
-    """Each item's last row."""
-    return panel.withColumn("rn", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("d")))).where("rn = 1").drop("rn")
+    """Each item's last row; rows of items and days are single."""
+    last = panel.groupBy("item_id").agg(F.max_by(F.struct(*panel.columns), "d").alias("last"))
+    return last.select(*(F.col("last")[c].alias(c) for c in panel.columns))
 
 
 def ratio(a: Column, b: Column) -> Column:

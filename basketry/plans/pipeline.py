@@ -11,8 +11,8 @@ from basketry.operators import panel, recency as R
 
 def features(rows: DataFrame) -> DataFrame:
     """The features of a panel (item_id, d, buy); training and prediction share them."""
-    g = R.with_gaps(rows)
-    g = g.select("item_id", "d", "buy", R.days_since_exclusive().alias("since"), R.average_gap().alias("avg_gap"), R.ewma_gap().alias("ewma_gap"), R.purchases_so_far().alias("n"), *(R.frequency(w).alias(f"freq_{w}") for w in (7, 30)))
+    g = R.with_ewma_gap(R.with_gaps(rows), name="ewma_gap")
+    g = g.select("item_id", "d", "buy", R.days_since_exclusive().alias("since"), R.average_gap().alias("avg_gap"), "ewma_gap", R.purchases_so_far().alias("n"), *(R.frequency(w).alias(f"freq_{w}") for w in (7, 30)))
     season = C.school_season_index(F.col("d"))
     return g.select("*", R.log_feature(F.col("since")).alias("since_log"), R.due_ratio(F.col("since"), F.col("avg_gap")).alias("due"), R.supply_level(F.col("since"), F.col("avg_gap")).alias("supply"), F.weekday("d").alias("dow"), season.alias("season"))
 

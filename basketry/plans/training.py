@@ -45,8 +45,8 @@ def _derived(since: Column, average: Column) -> list[Column]:
 
 def item_features(rows: DataFrame) -> DataFrame:
     """Of a panel (item_id, d, qty, buy): each row with what is known of its item by then."""
-    known = R.with_gaps(rows).select(
-        "item_id", "d", "qty", "buy", R.days_since_exclusive().alias("since"), R.average_gap().alias("average"), R.ewma_gap().alias("ewma"), R.purchases_so_far().alias("itemPurchaseCount_raw")
+    known = R.with_ewma_gap(R.with_gaps(rows)).select(
+        "item_id", "d", "qty", "buy", R.days_since_exclusive().alias("since"), R.average_gap().alias("average"), "ewma", R.purchases_so_far().alias("itemPurchaseCount_raw")
     )
     return known.select(
         "item_id", "d", "qty", F.col("buy").alias("didBuy_target"), *_derived(F.col("since"), F.col("average")),
@@ -73,7 +73,7 @@ def _with_dates(dates: DataFrame, weather: DataFrame | None) -> DataFrame:
 def training_frame(days: DataFrame, weather: DataFrame | None = None, calendar_days: int | None = None, drop_first: bool = False) -> DataFrame:
     """A row per item and day from its first purchase on (or, with calendar_days, per item and each of the last days), with all features. drop_first leaves out rows of items with exactly one purchase so far. Weather is (d, columns); days without have nulls."""
     rows = panel.negative_samples(days) if calendar_days is None else panel.full_calendar(days, calendar_days)
-    rows = item_features(rows.select("item_id", "d", "qty", "buy"))
+    rows = item_features(rows.select("item_id", "d", "day", "qty", "buy"))
     rows = rows.where("itemPurchaseCount_raw != 1") if drop_first else rows
     visits = trips.trip_gaps(days.select("d")).select("d", F.col("gap").alias("daysSinceLastTrip_raw"), F.col("avg_gap").alias("avgDaysBetweenTrips_feat"))
     dates = _with_dates(rows.select("d").distinct().join(visits, "d", "left"), weather)
@@ -82,7 +82,7 @@ def training_frame(days: DataFrame, weather: DataFrame | None = None, calendar_d
 
 def prediction_frame(days: DataFrame, dates: DataFrame, weather: DataFrame | None = None) -> DataFrame:
     """A row per known item and date asked for (later than the history), with the training frame's features but no label."""
-    state = item_features(panel.negative_samples(days).select("item_id", "d", "qty", "buy"))
+    state = item_features(panel.negative_samples(days).select("item_id", "d", "day", "qty", "buy"))
     keep = ["avgDaysBetweenItemPurchases_feat", "expectedDaysBetweenPurchases_ewma_feat", "itemPurchaseCount_raw"]
     state = state.groupBy("item_id").agg(F.max(F.when(F.col("didBuy_target") == 1, F.col("d"))).alias("last_d"), F.max_by(F.struct(*keep), "d").alias("s")).select("item_id", "last_d", "s.*")
     last = trips.trip_gaps(days.select("d")).agg(F.max("d").alias("last_trip"), F.max_by("avg_gap", "d").alias("avgDaysBetweenTrips_feat"))
@@ -108,3 +108,22 @@ def encode(frame: DataFrame, encoding: dict) -> DataFrame:
     waves = [x.alias(f"{c}_{k}_norm") for c, period in encoding["periods"].items() for k, x in zip(("sin", "cos"), normalize.sin_cos(F.col(c), period))]
     out = normalize.apply(frame.select("*", *waves).drop(*encoding["periods"], *(c for c in frame.columns if c.endswith("_raw"))), encoding["stats"])
     return out.na.fill(0.0, [f"{c}_norm" for c in encoding["stats"]])
+
+
+def feature_names(frame: DataFrame) -> list[str]:
+    """The names of scaled features, without those of raw columns."""
+    return [c for c in frame.columns if c.endswith("_norm") and not c.endswith("_raw_norm")]
+
+
+def target_name(frame: DataFrame) -> str:
+    """The one column that is to be learned; none or several are an error."""
+    found = [c for c in frame.columns if c.endswith("_target")]
+    if len(found) != 1:
+        raise ValueError(f"one column must end in _target, not {found}")
+    return found[0]
+
+
+def require_no_raw(columns: list[str]) -> list[str]:
+    if bad := [c for c in columns if c.endswith("_raw") or c.endswith("_raw_norm")]:
+        raise ValueError(f"raw columns among the features: {bad}")
+    return columns

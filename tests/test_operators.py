@@ -22,7 +22,7 @@ def gaps(spark):
 
 
 def test_gaps_by_hand(gaps):
-    got = gaps.select("d", R.days_since_exclusive().alias("e"), R.days_since_inclusive().alias("i"), R.average_gap().alias("a"), R.ewma_gap().alias("w"), R.purchases_so_far().alias("n")).orderBy("d").collect()
+    got = R.with_ewma_gap(gaps, name="w").select("d", "w", R.days_since_exclusive().alias("e"), R.days_since_inclusive().alias("i"), R.average_gap().alias("a"), R.purchases_so_far().alias("n")).orderBy("d").collect()
     assert [r.e for r in got] == [0, 1, 2, 3, 4, 1, 2, 3, 4, 5, 6]
     assert [r.i for r in got] == [0, 1, 2, 3, 0, 1, 2, 3, 4, 5, 0]
     assert [r.a for r in got] == [0] * 4 + [4] * 6 + [5]
