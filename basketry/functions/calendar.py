@@ -103,3 +103,34 @@ def proximity(d: Column, days: Column, scale: int, strict: bool = False) -> Colu
     """1 on the day, falling to 0 over `scale` days before it; negative after the one before if that is nearer. Null where one side is missing."""
     before, after = F.datediff(next_of(d, days), d), F.datediff(d, last_of(d, days, strict))
     return F.when(before <= after, F.greatest(F.lit(0.0), (scale - before) / scale)).otherwise(-F.greatest(F.lit(0.0), (scale - after) / scale))
+
+
+def column_name(rule: str) -> str:
+    """A rule's name as part of a column's: letters and digits alone."""
+    return "".join(x for x in rule if x.isalnum())
+
+
+def holiday_flags(d: Column, holidays: list[tuple[str, dt.date]], scale: int = 15) -> list[Column]:
+    """Of each rule among the (rule, date) given: is<rule>_holiday_feat, and proximity_<rule>_holiday_feat with the one strictly before."""
+    out = []
+    for rule in dict.fromkeys(n for n, _ in holidays):
+        own = dates([h for n, h in holidays if n == rule])
+        out.append(F.array_contains(own, d).cast("int").alias(f"is{column_name(rule)}_holiday_feat"))
+        out.append(proximity(d, own, scale, strict=True).alias(f"proximity_{column_name(rule)}_holiday_feat"))
+    return out
+
+
+def near_on_post(d: Column, days: Column, span: int = 7) -> tuple[Column, Column, Column]:
+    """Whether a holiday comes within `span` days, is that day, was within `span` days; false where there is none."""
+    after = F.array_min(F.filter(days, lambda h: h > d))
+    near, post = F.datediff(after, d) <= span, F.datediff(d, last_of(d, days, strict=True)) <= span
+    return F.coalesce(near, F.lit(False)), F.array_contains(days, d), F.coalesce(post, F.lit(False))
+
+
+def is_before_annual(d: Column, month_day: tuple[int, int], span: int) -> Column:
+    """1 within the `span` days before such a day of the year, not on it."""
+    return days_until_annual(d, month_day).between(1, span).cast("int")
+
+
+def is_on_annual(d: Column, month_day: tuple[int, int]) -> Column:
+    return (days_until_annual(d, month_day) == 0).cast("int")

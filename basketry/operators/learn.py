@@ -1,4 +1,4 @@
-"""Clustering and classification with Spark ML."""
+"""Clustering, splits, and classification with Spark ML."""
 
 from __future__ import annotations
 
@@ -6,9 +6,9 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
-from pyspark.ml.feature import FeatureHasher, PCA, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, OneHotEncoder, PCA, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,8 +28,15 @@ def clusters(vectors: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
     return KMeans(k=k, seed=seed, featuresCol="reduced").fit(rows).transform(rows)
 
 
+def standardised(vectors: DataFrame) -> DataFrame:
+    """features with mean 0 and deviation 1 in every place."""
+    scaler = StandardScaler(inputCol="features", outputCol="_scaled", withMean=True, withStd=True)
+    return scaler.fit(vectors).transform(vectors).drop("features").withColumnRenamed("_scaled", "features")
+
+
 def silhouettes(vectors: DataFrame, ks) -> DataFrame:
-    rows = reduced(vectors).select("reduced").cache()
+    """(k, silhouette) of clusters of the standardised, reduced vectors."""
+    rows = reduced(standardised(vectors)).select("reduced").cache()
     evaluator = ClusteringEvaluator(featuresCol="reduced")
     scores = [(k, float(evaluator.evaluate(KMeans(k=k, seed=42, featuresCol="reduced").fit(rows).transform(rows)))) for k in ks]
     rows.unpersist()
@@ -42,26 +49,62 @@ def split_by_time(df: DataFrame, share: float = 0.8) -> tuple[DataFrame, DataFra
     return df.where(F.unix_date("d") <= cut), df.where(F.unix_date("d") > cut)
 
 
-def boosted_scores(df: DataFrame, columns: list[str], label: str, trees: int = 10) -> DataFrame:
-    rows = VectorAssembler(inputCols=columns, outputCol="features").transform(df).withColumn("label", F.col(label).cast("double"))
+def split_at_random(df: DataFrame, share: float = 0.8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Rows dealt by chance. Rows of one item and time may fall on both sides; use split_by_time to measure a forecast."""
+    first, rest = df.randomSplit([share, 1 - share], seed)
+    return first, rest
+
+
+def split_stratified(df: DataFrame, label: str, share: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Of each label's rows the same share (to one row) on either side, by a hash of the row: the same rows every time, whatever the partitions."""
+    place = F.percent_rank().over(Window.partitionBy(label, "_bin").orderBy("_hash"))
+    hashed = df.withColumn("_hash", F.xxhash64(*df.columns)).withColumn("_bin", F.pmod("_hash", F.lit(64)))
+    ranked = hashed.withColumn("_place", place)
+    return ranked.where(F.col("_place") < share).drop("_hash", "_bin", "_place"), ranked.where(F.col("_place") >= share).drop("_hash", "_bin", "_place")
+
+
+def boosted_model(rows: DataFrame, trees: int = 10, depth: int = 4, validation: float = 0.0, patience: float = 0.01, seed: int = 42):
+    """Boosted trees of (features, label). With validation, that share of rows isn't trained on, and training ends early when the loss on them no longer falls by `patience`."""
+    trainer = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed)
+    if not validation:
+        return trainer.fit(rows)
+    held = F.pmod(F.xxhash64("features", "label"), F.lit(1000)) < round(1000 * validation)
+    return trainer.setValidationIndicatorCol("_validation").setValidationTol(patience).fit(rows.withColumn("_validation", held))
+
+
+def boosted_scores(df: DataFrame, columns: list[str], label: str, trees: int = 10, validation: float = 0.1) -> DataFrame:
+    """Scores of all rows by trees over the columns and the item's number, trained on the earlier dates, ended early by the loss on a part of them."""
+    rows = VectorAssembler(inputCols=[*columns, "item_id"], outputCol="features").transform(df).withColumn("label", F.col(label).cast("double"))
     train, _ = split_by_time(rows)
-    model = GBTClassifier(maxIter=trees, maxDepth=4, seed=42).fit(train)
+    model = boosted_model(train.select("features", "label"), trees, validation=validation)
     return model.transform(rows).select("item_id", "d", label, vector_to_array("probability")[1].alias("score"))
 
 
-def auc(scored: DataFrame, label: str) -> float:
-    return BinaryClassificationEvaluator(rawPredictionCol="score", labelCol=label).evaluate(scored.withColumn(label, F.col(label).cast("double")))
+def auc(scored: DataFrame, label: str, metric: str = "areaUnderROC") -> float:
+    """The area under the curve; metric areaUnderPR for the curve of precision by recall."""
+    return BinaryClassificationEvaluator(rawPredictionCol="score", labelCol=label, metricName=metric).evaluate(scored.withColumn(label, F.col(label).cast("double")))
 
 
-def perceptron_scores(df: DataFrame, columns: list[str], label: str, layers: tuple[int, ...] = (16, 8), width: int = 64, steps: int = 50) -> DataFrame:
-    """Scores by a perceptron over the columns and the item. Items are hashed to `width` inputs, so the model doesn't grow with their number."""
+SOLVERS = ("l-bfgs", "gd")
+
+
+def perceptron_scores(df: DataFrame, columns: list[str], label: str, layers: tuple[int, ...] = (16, 8), width: int | None = None, steps: int = 50, solver: str = "l-bfgs") -> DataFrame:
+    """Scores by a perceptron over the columns and the item. Every item has an input of its own, so the first layer's weights are its embedding; items not trained on share one. With width, items are hashed to so many inputs instead, which bounds the model but lets items collide."""
+    if solver not in SOLVERS:
+        raise ValueError(f"solver must be one of {SOLVERS}, not {solver!r}")
     rows = df.withColumn("_item", F.col("item_id").cast("string")).withColumn("label", F.col(label).cast("double"))
-    hasher = FeatureHasher(inputCols=["_item"], outputCol="_hashed", numFeatures=width)
-    assembler = VectorAssembler(inputCols=["_hashed", *columns], outputCol="features")
-    net = MultilayerPerceptronClassifier(layers=[width + len(columns), *layers, 2], maxIter=steps, seed=42)
     train, _ = split_by_time(rows)
-    model = Pipeline(stages=[hasher, assembler, net]).fit(train)
-    return model.transform(rows).select("item_id", "d", label, vector_to_array("probability")[1].alias("score"))
+    if width:
+        item = [FeatureHasher(inputCols=["_item"], outputCol="_input", numFeatures=width)]
+    else:
+        item = [StringIndexer(inputCol="_item", outputCol="_index", handleInvalid="keep"), OneHotEncoder(inputCols=["_index"], outputCols=["_input"], dropLast=False)]
+    inputs = Pipeline(stages=[*item, VectorAssembler(inputCols=["_input", *columns], outputCol="features")]).fit(train)
+    train = inputs.transform(train)
+    first = train.select("features").first()
+    if first is None:
+        raise ValueError("no rows to train on")
+    net = MultilayerPerceptronClassifier(layers=[len(first[0]), *layers, 2], maxIter=steps, seed=42, solver=solver)
+    return net.fit(train).transform(inputs.transform(rows)).select("item_id", "d", label, vector_to_array("probability")[1].alias("score"))
 
 
 def gain_importance(df: DataFrame, columns: list[str], label: str, trees: int = 5) -> DataFrame:
@@ -72,6 +115,9 @@ def gain_importance(df: DataFrame, columns: list[str], label: str, trees: int =
 
 
 def next_trip(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Of (item_id, d, score): each item's latest score and whether it is expected on the next trip."""
+    """Of (item_id, d, score): each item's latest score, whether it is expected on the next trip, and its rank among all; items of one score share a rank."""
     last = scored.groupBy("item_id").agg(F.max_by("score", "d").alias("score"))
-    return last.withColumn("expected", F.col("score") >= threshold)
+    # Ranks by the number of items with each score: a row per item isn't brought to one task, but one per score.
+    better = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1
+    ranks = last.groupBy("score").agg(F.count(F.lit(1)).alias("n")).select("score", better.alias("rank"))
+    return last.join(ranks, "score").select("item_id", "score", (F.col("score") >= threshold).alias("expected"), "rank")

@@ -52,3 +52,9 @@ def binary_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 def class_weight(labels: DataFrame, column: str) -> DataFrame:
     positive = F.sum(F.col(column)).cast("double")
     return labels.agg(F.least(F.lit(50.0), (F.count(F.lit(1)) - positive) / (positive + 1e-6)).alias("weight"))
+
+
+def apply_to_value(value: float | None, column: str, stats: dict[str, tuple[float | None, float | None]]) -> float:
+    """One value in the column's scale; 0 where nothing varies, and for no value, as after filling."""
+    mean, std = stats[column]
+    return 0.0 if not std or value is None else (value - mean) / std

@@ -29,9 +29,10 @@ def distinct_counts(spark, sf):
     return pe(spark, sf).agg(F.count_distinct("item_id").alias("items"), F.count_distinct("source").alias("trips"), F.min("d").alias("first_d"), F.max("d").alias("last_d"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def trips_without_receipts(spark, sf):
-    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
+    """Customers without an urgent order."""
+    c, o = table(spark, sf, "customer"), table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'")
     return c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti").select("c_custkey", "c_name")
 
 
@@ -121,7 +122,7 @@ def cache_key_and_slug(spark, sf):
 @query("SELECT p_partkey, CASE WHEN p_brand IN ('Brand#1', 'Brand#2') THEN 'house' ELSE p_brand END AS by_name, CASE WHEN regexp_matches(p_name, '^(red|blue)') THEN 'colour' ELSE p_name END AS by_pattern, regexp_replace('a-seg-' || p_name, '-seg-', '-') AS without FROM part")
 def labels_by_name_and_pattern(spark, sf):
     by_name = F.when(F.col("p_brand").isin("Brand#1", "Brand#2"), "house").otherwise(F.col("p_brand"))
-    by_pattern = F.when(F.col("p_name").rlike("^(red|blue)"), "colour").otherwise(F.col("p_name"))
+    by_pattern = N.canonicalize_by_pattern(F.col("p_name"), [("colour", ["^red", "^blue"])])
     return table(spark, sf, "part").select("p_partkey", by_name.alias("by_name"), by_pattern.alias("by_pattern"), F.regexp_replace(F.concat(F.lit("a-seg-"), "p_name"), "-seg-", "-").alias("without"))
 
 
@@ -135,13 +136,13 @@ def days_since_last_at(spark, sf):
     return ev(spark, sf).groupBy("item_id").agg(big(F.datediff(F.lit("2024-02-05").cast("date"), F.max("d")), "since"))
 
 
-@query(f"WITH {PANEL} SELECT item_id, d, qty FROM panel WHERE d >= DATE '2024-01-25' EXCEPT SELECT item_id, d, qty FROM panel WHERE buy = 1")
+@query(f"WITH {PANEL} SELECT item_id, d, qty FROM panel EXCEPT SELECT item_id, d, qty FROM panel WHERE buy = 1")
 def rows_not_bought(spark, sf):
     from basketry.plans.queries import ev_panel
 
     p = ev_panel(spark, sf)
-    late, bought = p.where("d >= DATE'2024-01-25'").select("item_id", "d", "qty"), p.where("buy = 1").select("item_id", "d")
-    return late.join(bought, ["item_id", "d"], "left_anti")
+    bought = p.where("buy = 1").select("item_id", "d")
+    return p.select("item_id", "d", "qty").join(bought, ["item_id", "d"], "left_anti")
 
 
 @query(
@@ -239,3 +240,70 @@ def prediction_frame(spark, sf):
 
     asked = spark.sql("SELECT explode(array(DATE'2024-01-31', DATE'2024-02-01')) AS d")
     return _typed(training.prediction_frame(ev(spark, sf), asked, _weather(spark, sf)), _AHEAD, _REALS, "item_id", "d")
+
+
+@query(f"""WITH {EV}, t AS (SELECT count(DISTINCT d) AS trips, greatest(1, date_diff('day', min(d), max(d))) AS line, max(d) AS last_d FROM ev),
+h AS (SELECT item_id, count(*) / trips AS f, date_diff('day', min(d), max(d)) / line AS s, exp(-date_diff('day', max(d), last_d) / 120.0) AS e FROM ev, t GROUP BY item_id, trips, line, last_d)
+SELECT c_custkey AS item_id, round(coalesce(f, 0), 6) AS "habitFrequency", round(coalesce(s, 0), 6) AS "habitSpan", round(coalesce(e, 0), 6) AS "habitDecay" FROM customer LEFT JOIN h ON c_custkey = item_id""")
+def habit_features_of_all(spark, sf):
+    """Habits of every customer as an item, those never bought included."""
+    from basketry.operators import habits
+
+    every = table(spark, sf, "customer").select(F.col("c_custkey").alias("item_id"))
+    return habits.habit_features(ev(spark, sf), every).select("item_id", *(r6(F.col(c), c) for c in ("habitFrequency", "habitSpan", "habitDecay")))
+
+
+@query(f"WITH {GAPS} SELECT item_id, CAST(sum(buy) AS BIGINT) AS n FROM feats GROUP BY 1")
+def total_purchases(spark, sf):
+    from basketry.operators import habits
+
+    return habits.total_purchases(feats(spark, sf)).select("item_id", big(F.col("n"), "n"))
+
+
+@query(f"WITH {DICT}, old AS (SELECT * FROM dict WHERE item_id % 2 = 0) SELECT CAST(d.item_id AS BIGINT) AS item_id, coalesce(old.item, 'unknown') AS item FROM dict d LEFT JOIN old ON old.item_id = d.item_id")
+def names_of_ids(spark, sf):
+    """Ids back to names, where half of the dictionary is known."""
+    ids = items.item_ids(named_events(spark, sf))
+    return items.with_names(ids.select("item_id"), ids.where("item_id % 2 = 0"), unknown="unknown")
+
+
+@query(f"WITH {DICT} SELECT item, CAST(count(*) AS BIGINT) AS rows FROM named JOIN dict USING (item) WHERE item_id % 2 = 1 GROUP BY 1")
+def items_lost_in_mapping(spark, sf):
+    named = named_events(spark, sf)
+    return items.mapped_with_losses(named, items.item_ids(named).where("item_id % 2 = 0"))[1]
+
+
+@query("SELECT o_custkey, " + ", ".join(f"CAST(max(CASE WHEN o_orderpriority = '{p}' THEN 1 ELSE 0 END) AS BIGINT) AS \"is_{p.lower().replace(' ', '_')}\"" for p in PRIORITIES) + " FROM orders GROUP BY 1")
+def category_flags(spark, sf):
+    """A flag of each priority that a customer's orders had."""
+    held = table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("had"))
+    flags = lookups.category_flags(held, "o_custkey", "had")
+    return flags.select("o_custkey", *(big(F.col(f"`{c}`"), c) for c in flags.columns if c != "o_custkey"))
+
+
+@query(f"WITH {EV}, a AS (SELECT item_id, CAST(count(*) AS DOUBLE) AS gap FROM ev GROUP BY 1) SELECT item_id, CAST(DATE '2024-02-01' + CAST(floor(n * gap) AS INTEGER) AS DATE) AS d, CAST(1 AS BIGINT) AS buy FROM a, (SELECT unnest(range(5)) AS n)")
+def synthetic_of_count(spark, sf):
+    """Five purchases of each item at even gaps: the count-bounded variant, without chance."""
+    from basketry.operators import panel
+
+    gaps = ev(spark, sf).groupBy("item_id").agg(F.count(F.lit(1)).cast("double").alias("gap"))
+    return panel.synthetic_purchases_of(gaps, "2024-02-01", 5, fuzz=0).select("item_id", "d", big(F.col("buy"), "buy"))
+
+
+@query("SELECT vec_id, label, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 4) AS norm FROM embeddings QUALIFY row_number() OVER (ORDER BY round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 4) DESC, vec_id) <= 100")
+def largest_embeddings(spark, sf):
+    """The 100 longest vectors with their labels; a top-n report."""
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+    normed = table(spark, sf, "embeddings").select("vec_id", "label", F.round(norm, 4).alias("norm"))
+    return lookups.first_in_order(normed.withColumn("least", -F.col("norm")), 100, "least", "vec_id").drop("least")
+
+
+@query()
+def due_scores_ranked(spark, sf):
+    """From history to ranked items: model and encoding fitted, every item scored and ranked on two coming days."""
+    from basketry.plans import scoring, training
+
+    days = ev(spark, sf)
+    model, encoding = scoring.fit(training.training_frame(days, _weather(spark, sf)), trees=5)
+    asked = spark.sql("SELECT explode(array(DATE'2024-01-31', DATE'2024-02-01')) AS d")
+    return scoring.ranked(scoring.scores(model, encoding, days, asked, _weather(spark, sf)))

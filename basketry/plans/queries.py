@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from basketry.functions import calendar as C
 from basketry.functions import names as N
-from basketry.operators import items, normalize, panel, recency as R, trips
+from basketry.sources import nested
+from basketry.operators import habits, items, normalize, panel, recency as R, trips
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -140,7 +141,7 @@ def exclude_terms(spark, sf):
 @query("WITH a AS (SELECT p_partkey, CASE WHEN p_size % 5 > 0 THEN p_name END AS name FROM part) SELECT * FROM a WHERE NOT coalesce(contains(lower(name), 'blue'), false)")
 def not_contains_keep_null(spark, sf):
     a = table(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") % 5 > 0, F.col("p_name")).alias("name"))
-    return a.where(~F.coalesce(F.contains(F.lower("name"), F.lit("blue")), F.lit(False)))
+    return a.where(N.lacks_all(F.col("name"), ("blue",)))
 
 
 def named_events(spark, sf):
@@ -236,7 +237,7 @@ _feature("ffill_state", "v", lambda: F.last("qty", ignorenulls=True).over(R.so_f
 @query(f"""WITH {GAPS}, x AS (SELECT *, list(CAST(gap AS DOUBLE)) FILTER (gap IS NOT NULL) OVER {SO_FAR} AS gs FROM gaps)
 SELECT item_id, d, round(coalesce(CASE WHEN len(gs) > 0 THEN list_reduce(gs, lambda a, g: 0.3 * g + 0.7 * a) END, 0), 6) AS ewma FROM x""")
 def ewma_gap(spark, sf):
-    return feats(spark, sf).select("item_id", "d", r6(R.ewma_gap(), "ewma"))
+    return R.with_ewma_gap(R.with_gaps(ev_panel(spark, sf))).select("item_id", "d", r6(F.col("ewma"), "ewma"))
 
 
 _F = ", ".join(f"CAST(sum(buy) OVER (PARTITION BY item_id ORDER BY d RANGE BETWEEN INTERVAL {w} DAY PRECEDING AND CURRENT ROW) AS BIGINT) AS freq_{w}" for w in (7, 15, 30, 90, 365))
@@ -274,7 +275,7 @@ def due_score_znorm(spark, sf):
 
 @query(f"WITH {EV} SELECT item_id, d, CAST(coalesce(date_diff('day', lag(d) OVER (PARTITION BY item_id ORDER BY d), d), 999) AS BIGINT) AS gap FROM ev")
 def naive_lag_gap(spark, sf):
-    return ev(spark, sf).select("item_id", "d", big(F.coalesce(F.datediff("d", F.lag("d").over(R.item())), F.lit(999)), "gap"))
+    return ev(spark, sf).select("item_id", "d", big(F.coalesce(F.datediff("d", F.lag("d").over(Window.partitionBy("item_id").orderBy("d"))), F.lit(999)), "gap"))
 
 
 @query(f"WITH {PE} SELECT item_id, CAST(count(*) AS BIGINT) AS n FROM pe GROUP BY 1")
@@ -317,10 +318,8 @@ def habit_frequency(spark, sf):
 @query(f"""WITH {EV}, t AS (SELECT count(DISTINCT d) AS trips, greatest(1, date_diff('day', min(d), max(d))) AS line, max(d) AS last_d FROM ev)
 SELECT item_id, round(count(*) / trips, 6) AS habit_frequency, round(date_diff('day', min(d), max(d)) / line, 6) AS habit_span, round(exp(-date_diff('day', max(d), last_d) / 120.0), 6) AS habit_decay FROM ev, t GROUP BY item_id, trips, line, last_d""")
 def habit_features(spark, sf):
-    e = ev(spark, sf)
-    t = e.agg(F.countDistinct("d").alias("trips"), F.greatest(F.lit(1), F.datediff(F.max("d"), F.min("d"))).alias("line"), F.max("d").alias("last_d"))
-    g = e.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi")).crossJoin(F.broadcast(t))
-    return g.select("item_id", r6(F.col("n") / F.col("trips"), "habit_frequency"), r6(F.datediff("hi", "lo") / F.col("line"), "habit_span"), r6(F.exp(-F.datediff("last_d", "hi") / 120.0), "habit_decay"))
+    h = habits.habit_features(ev(spark, sf))
+    return h.select("item_id", r6(F.col("habitFrequency"), "habit_frequency"), r6(F.col("habitSpan"), "habit_span"), r6(F.col("habitDecay"), "habit_decay"))
 
 
 _TRIPS = f"WITH {DAYS}, g AS (SELECT d, coalesce(date_diff('day', lag(d) OVER (ORDER BY d), d), 0) AS gap FROM days), t AS (SELECT *, coalesce(avg(nullif(gap, 0)) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING), 0) AS avg_gap FROM g)"
@@ -363,17 +362,24 @@ _daily("school_days_until", f"CAST(date_diff('day', d, CASE WHEN d <= {_S} THEN
 _daily("school_season_index", f"round(CASE WHEN d > {_E} THEN date_diff('day', {_E}, d) / 365.0 ELSE -date_diff('day', d, {_S}) / 365.0 END, 6) AS v", lambda d: [r6(C.school_season_index(d), "v")])
 _daily("school_season_index_scalar", f"round(CASE WHEN d < {_S} THEN -date_diff('day', d, {_S}) / 365.0 ELSE date_diff('day', {_E}, d) / 365.0 END, 6) AS v", lambda d: [r6(C.school_season_index_early(d), "v")])
 _daily("is_school_season", f"d >= {_S} OR d <= {_E} AS v", lambda d: [C.is_school_season(d).alias("v")])
-_daily("anniversary_days", "CAST(date_diff('day', d, CASE WHEN d <= make_date(year(d), 3, 9) THEN make_date(year(d), 3, 9) ELSE make_date(year(d) + 1, 3, 9) END) AS BIGINT) AS until, CAST(date_diff('day', CASE WHEN d >= make_date(year(d), 3, 9) THEN make_date(year(d), 3, 9) ELSE make_date(year(d) - 1, 3, 9) END, d) AS BIGINT) AS since", lambda d: [big(C.days_until_annual(d, (3, 9)), "until"), big(C.days_since_annual(d, (3, 9)), "since")])
+_daily("anniversary_days", "CAST(date_diff('day', d, CASE WHEN d <= make_date(year(d), 3, 9) THEN make_date(year(d), 3, 9) ELSE make_date(year(d) + 1, 3, 9) END) AS BIGINT) AS until, CAST(date_diff('day', CASE WHEN d >= make_date(year(d), 3, 9) THEN make_date(year(d), 3, 9) ELSE make_date(year(d) - 1, 3, 9) END, d) AS BIGINT) AS since, CAST(date_diff('day', d, CASE WHEN d <= make_date(year(d), 3, 9) THEN make_date(year(d), 3, 9) ELSE make_date(year(d) + 1, 3, 9) END) BETWEEN 1 AND 14 AS BIGINT) AS before, CAST(month(d) = 3 AND day(d) = 9 AS BIGINT) AS is_on", lambda d: [big(C.is_before_annual(d, (3, 9), 14), "before"), big(C.is_on_annual(d, (3, 9)), "is_on"), big(C.days_until_annual(d, (3, 9)), "until"), big(C.days_since_annual(d, (3, 9)), "since")])
 # From 1987 to 2006 daylight saving began on the first Sunday of April and ended on the last of October, at two in the morning.
 _daily("dst_flag", "CAST(d > make_date(year(d), 4, 1) + CAST((7 - isodow(make_date(year(d), 4, 1))) AS INTEGER) AND d <= make_date(year(d), 10, 31) - CAST(isodow(make_date(year(d), 10, 31)) % 7 AS INTEGER) AS BIGINT) AS dst", lambda d: [big(C.is_dst(d, "America/Chicago"), "dst")])
 
 _ALL = C.federal_holidays(1994, 2002)
-_HOL = "hol AS (SELECT CAST(h AS DATE) AS h, rule FROM (VALUES " + ", ".join(f"('{x}', '{n}')" for n, x in _ALL) + ") t(h, rule))"
+# The rules themselves, in SQL: the n-th weekday of a month, the last Monday of May, and days that move off a weekend.
+_NTH = "SELECT '{0}' AS rule, make_date(y, {1}, 1) + CAST((({2} - isodow(make_date(y, {1}, 1)) + 7) % 7 + {3}) AS INTEGER) AS h FROM years"
+_FIXED = "SELECT '{0}' AS rule, make_date(y, {1}, {2}) + CAST(CASE isodow(make_date(y, {1}, {2})) WHEN 6 THEN -1 WHEN 7 THEN 1 ELSE 0 END AS INTEGER) AS h FROM years"
+_MAY = "SELECT 'Memorial' AS rule, make_date(y, 5, 31) - CAST(isodow(make_date(y, 5, 31)) - 1 AS INTEGER) AS h FROM years"
+_HOL = "years AS (SELECT CAST(range AS INTEGER) AS y FROM range(1994, 2003)), hol AS (" + " UNION ALL ".join(
+    [_NTH.format("MartinLutherKing", 1, 1, 14), _NTH.format("Presidents", 2, 1, 14), _NTH.format("Labor", 9, 1, 0), _NTH.format("Columbus", 10, 1, 7), _NTH.format("Thanksgiving", 11, 4, 21), _MAY]
+    + [_FIXED.format(*x) for x in (("NewYear", 1, 1), ("Independence", 7, 4), ("Veterans", 11, 11), ("Christmas", 12, 25))]
+) + ")"
 _NEXT, _LAST = "(SELECT min(h) FROM hol WHERE h >= d)", "(SELECT max(h) FROM hol WHERE h <= d)"
 _EVERY = [x for _, x in _ALL]
 
 
-@query(f"WITH {_HOL} SELECT rule, h FROM hol")
+@query(f"WITH {_HOL} SELECT rule, CAST(h AS DATE) AS h FROM hol")
 def federal_holidays(spark, sf):
     return spark.createDataFrame(_ALL, "rule string, h date")
 
@@ -386,14 +392,14 @@ def _near(scale: int, before: str, after: str) -> str:
 
 
 _daily("holiday_proximity", _near(30, f"date_diff('day', d, {_NEXT})", f"date_diff('day', {_LAST}, d)") + " AS v", lambda d: [r6(C.proximity(d, C.dates(_EVERY), 30), "v")], f", {_HOL}")
-_RULES = ("Thanksgiving", "Labor", "Christmas")
+_RULES = ("NewYear", "MartinLutherKing", "Presidents", "Memorial", "Independence", "Labor", "Columbus", "Veterans", "Thanksgiving", "Christmas")
 _daily(
     "holiday_flags_per_rule",
-    ", ".join(f"CAST(d IN (SELECT h FROM hol WHERE rule = '{n}') AS BIGINT) AS is_{n}, " + _near(15, f"date_diff('day', d, (SELECT min(h) FROM hol WHERE rule = '{n}' AND h >= d))", f"date_diff('day', (SELECT max(h) FROM hol WHERE rule = '{n}' AND h < d), d)") + f" AS near_{n}" for n in _RULES),
-    lambda d: [x for n in _RULES for own in [C.dates([h for r, h in _ALL if r == n])] for x in (big(F.array_contains(own, d), f"is_{n}"), r6(C.proximity(d, own, 15, strict=True), f"near_{n}"))],
+    ", ".join(f"CAST(d IN (SELECT h FROM hol WHERE rule = '{n}') AS BIGINT) AS is{n}_holiday_feat, " + _near(15, f"date_diff('day', d, (SELECT min(h) FROM hol WHERE rule = '{n}' AND h >= d))", f"date_diff('day', (SELECT max(h) FROM hol WHERE rule = '{n}' AND h < d), d)") + f" AS proximity_{n}_holiday_feat" for n in _RULES),
+    lambda d: [(big if i % 2 == 0 else r6)(x, f"{('is', 'proximity_')[i % 2]}{n}_holiday_feat") for n, i, x in zip([y for y in dict.fromkeys(r for r, _ in _ALL) for _ in (0, 1)], [0, 1] * len(_RULES), C.holiday_flags(d, _ALL))],
     f", {_HOL}",
 )
-_daily("near_post_holiday", f"coalesce(date_diff('day', d, (SELECT min(h) FROM hol WHERE h > d)) <= 7, false) AS near, d IN (SELECT h FROM hol) AS is_on, coalesce(date_diff('day', (SELECT max(h) FROM hol WHERE h < d), d) <= 7, false) AS post", lambda d: [F.coalesce(F.datediff(F.array_min(F.filter(C.dates(_EVERY), lambda h: h > d)), d) <= 7, F.lit(False)).alias("near"), F.array_contains(C.dates(_EVERY), d).alias("is_on"), F.coalesce(F.datediff(d, C.last_of(d, C.dates(_EVERY), strict=True)) <= 7, F.lit(False)).alias("post")], f", {_HOL}")
+_daily("near_post_holiday", f"coalesce(date_diff('day', d, (SELECT min(h) FROM hol WHERE h > d)) <= 7, false) AS near, d IN (SELECT h FROM hol) AS is_on, coalesce(date_diff('day', (SELECT max(h) FROM hol WHERE h < d), d) <= 7, false) AS post", lambda d: [x.alias(n) for x, n in zip(C.near_on_post(d, C.dates(_EVERY)), ("near", "is_on", "post"))], f", {_HOL}")
 
 
 _MG = "mg AS (SELECT unnest([" + ", ".join(f"DATE '{x}'" for x in C.EXTRA_HOLIDAYS["MardiGras"]) + "]) AS h)"
@@ -461,23 +467,24 @@ def trip_totals_window(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.sum(F.col("l_quantity").cast("long")).over(w).alias("trip_qty"), F.count(F.lit(1)).over(w).alias("n"))
 
 
-_REC = "sums AS (SELECT l_orderkey AS o_orderkey, sum(l_extendedprice) AS total FROM lineitem WHERE l_quantity > 5 GROUP BY 1)"
+_REC = "sums AS (SELECT user_id AS c_custkey, CAST(count(*) AS BIGINT) AS total FROM events GROUP BY 1)"
 
 
 def reconciled(spark, sf):
-    sums = table(spark, sf, "lineitem").where("l_quantity > 5").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_extendedprice").alias("total"))
-    return trips.reconcile(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), sums, "o_orderkey")
+    """Customers, of whom few have events, against the counts of their events."""
+    sums = table(spark, sf, "events").groupBy(F.col("user_id").alias("c_custkey")).agg(F.count(F.lit(1)).alias("total"))
+    return trips.reconcile(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), sums, "c_custkey")
 
 
-@query(f"WITH {_REC} SELECT o.o_orderkey, CASE WHEN s.o_orderkey IS NULL THEN 'left_only' ELSE 'both' END AS indicator FROM orders o LEFT JOIN sums s USING (o_orderkey)")
+@query(f"WITH {_REC} SELECT c.c_custkey, CASE WHEN s.c_custkey IS NULL THEN 'left_only' ELSE 'both' END AS indicator FROM customer c LEFT JOIN sums s USING (c_custkey)")
 def reconcile_left_indicator(spark, sf):
-    return reconciled(spark, sf).select("o_orderkey", "indicator")
+    return reconciled(spark, sf).select("c_custkey", "indicator")
 
 
-@query(f"WITH {_REC} SELECT o.o_orderkey, round(o_totalprice - total, 2) AS off FROM orders o JOIN sums s USING (o_orderkey) WHERE abs(o_totalprice - total) > 0.01")
+@query(f"WITH {_REC} SELECT c.c_custkey, round(c_acctbal - total, 2) AS off FROM customer c JOIN sums s USING (c_custkey) WHERE abs(c_acctbal - total) > 0.01")
 def reconcile_mismatch(spark, sf):
-    off = F.col("o_totalprice") - F.col("total")
-    return reconciled(spark, sf).where((F.col("indicator") == "both") & (F.abs(off) > 0.01)).select("o_orderkey", F.round(off, 2).alias("off"))
+    off = F.col("c_acctbal") - F.col("total")
+    return reconciled(spark, sf).where((F.col("indicator") == "both") & (F.abs(off) > 0.01)).select("c_custkey", F.round(off, 2).alias("off"))
 
 
 @query("SELECT l_orderkey, " + ", ".join(f"CAST(max(CASE WHEN l_returnflag = '{f}' THEN 1 ELSE 0 END) AS BIGINT) AS item_{f}" for f in "ANR") + " FROM lineitem GROUP BY 1")
@@ -531,11 +538,12 @@ def json_props(spark, sf):
 
 @query("WITH p AS (SELECT user_id, CAST(ts AS DATE) AS d, max(value) AS hi, count(*) AS n FROM events GROUP BY 1, 2) SELECT user_id, round(max(hi), 6) AS hi, CAST(sum(n) AS BIGINT) AS n FROM p WHERE d = DATE '2024-01-15' GROUP BY 1")
 def forecast_filter(spark, sf):
-    """Periods of a nested forecast filtered by date, with the highest value in them."""
-    e = table(spark, sf, "events")
-    nested = e.groupBy("user_id").agg(F.collect_list(F.struct(F.to_date("ts").alias("d"), "value")).alias("periods"))
-    on = F.filter("periods", lambda p: p["d"] == F.lit("2024-01-15").cast("date"))
-    return nested.select("user_id", on.alias("on")).where(F.size("on") > 0).select("user_id", r6(F.array_max(F.transform("on", lambda p: p["value"])), "hi"), big(F.size("on"), "n"))
+    """Periods of a nested forecast filtered by date, with the highest value in them. Here the periods are nested from rows, so the rows are filtered before."""
+    e = table(spark, sf, "events").where((F.col("ts") >= "2024-01-15") & (F.col("ts") < "2024-01-16"))
+    period = F.struct(F.to_date("ts").alias("d"), "value")
+    nested_ = e.groupBy("user_id").agg(F.collect_list(period).alias("periods"))
+    on = nested.periods_on(F.col("periods"), F.lit("2024-01-15").cast("date"))
+    return nested_.select("user_id", on.alias("on")).where(F.size("on") > 0).select("user_id", r6(F.array_max(F.transform("on", lambda p: p["value"])), "hi"), big(F.size("on"), "n"))
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 4) AS norm FROM embeddings")
@@ -565,7 +573,8 @@ def synthetic_purchases(spark, sf):
     return panel.synthetic_purchases(averages, "2024-02-01", "2024-03-31")
 
 
-@query()
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS source, strftime(any_value(o_orderdate), '%-m/%-d/%Y') AS date, '9:09 PM' AS time, CAST(sum(l_quantity) AS INTEGER) AS reported, CAST(count(*) AS INTEGER) AS "rowsCount", CAST(sum(l_quantity) AS INTEGER) AS "qtySum", true AS "qtyMatchReported"
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1""")
 def receipt_parse(spark, sf):
     """Orders written as receipt texts, parsed back."""
     from basketry.sources import receipts

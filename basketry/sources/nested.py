@@ -30,6 +30,11 @@ def read_forecast(spark: SparkSession, path: str) -> DataFrame:
     return periods.select("p.name", day.alias("d"), "p.temperature", F.coalesce("p.relativeHumidity.value", F.lit(0.0)).alias("humidity"), F.col("p.shortForecast").alias("summary"))
 
 
+def periods_on(periods: Column, day: Column) -> Column:
+    """Of an array of periods with a date d, those of the day; where they are."""
+    return F.filter(periods, lambda p: p["d"] == day)
+
+
 def forecast_by_day(periods: DataFrame) -> DataFrame:
     """(d, high, humidity): of each day the highest temperature and humidity."""
     return periods.groupBy("d").agg(F.max("temperature").alias("high"), F.max("humidity").alias("humidity"))

@@ -9,11 +9,17 @@ from pyspark.sql import functions as F
 WEATHER = {"temp": "temp_feat", "feelslike": "feelsLike_feat", "humidity": "humidity_feat", "precip": "precip_feat", "windspeed": "windspeed_feat", "sealevelpressure": "sealevelpressure_feat"}
 
 
-def read_orders(spark: SparkSession, path: str) -> DataFrame:
-    """CSV orders as (source, date, item, qty); brand words are removed from names."""
-    raw = spark.read.option("header", True).option("pathGlobFilter", "*.[cC][sS][vV]").csv(path)
-    item = F.trim(F.replace(F.replace("Product Description", F.lit("Great Value"), F.lit("")), F.lit("Freshness Guaranteed"), F.lit("")))
-    return raw.select(F.col("_metadata.file_name").alias("source"), F.to_date("Order Date").alias("date"), item.alias("item"), F.col("Product Quantity").try_cast("int").alias("qty"))
+def read_orders(spark: SparkSession, path: str, widest: int = 64) -> DataFrame:
+    """CSV orders as (source, date, item, qty); brand words are removed from names. Columns are found by each file's own header, so files may have them in any order; of a file with more than `widest` columns the further ones aren't found. A value holds no line break."""
+    files = spark.read.option("pathGlobFilter", "*.[cC][sS][vV]").text(path, wholetext=True)
+    lines = files.select(F.col("_metadata.file_name").alias("source"), F.split(F.regexp_replace("value", "^\ufeff", ""), r"\r?\n").alias("lines"))
+    schema = ", ".join(f"c{i} string" for i in range(widest))
+    fields = lambda c: F.array(*(F.from_csv(c, F.lit(schema))[f"c{i}"] for i in range(widest)))
+    rows = lines.select("source", F.transform(fields(F.element_at("lines", 1)), F.trim).alias("header"), F.explode(F.slice("lines", 2, F.size("lines"))).alias("line"))
+    rows = rows.where(F.trim("line") != "").select("source", "header", fields(F.col("line")).alias("values"))
+    value = lambda name: F.try_element_at("values", F.nullif(F.array_position("header", name), F.lit(0)).cast("int"))
+    item = F.trim(F.replace(F.replace(value("Product Description"), F.lit("Great Value"), F.lit("")), F.lit("Freshness Guaranteed"), F.lit("")))
+    return rows.select("source", F.to_date(value("Order Date")).alias("date"), item.alias("item"), value("Product Quantity").try_cast("int").alias("qty"))
 
 
 def read_weather(spark: SparkSession, path: str) -> DataFrame:
@@ -27,9 +33,32 @@ def read_check_list(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.try_to_timestamp("datetime").alias("datetime"), "location", F.regexp_replace("cost", "[$,]", "").try_cast("double").alias("cost"), F.regexp_extract("itemcount", r"(\d+)", 1).try_cast("int").alias("itemcount"))
 
 
-def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
+def read_dictionary(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """(item, item_id) of a dictionary written as JSON rows. A row without a name or a number is an error; without strict it is left out."""
     raw = spark.read.schema("item string, item_id long").json(path)
-    return raw.where("item IS NOT NULL AND item_id IS NOT NULL")
+    if not strict:
+        return raw.where("item IS NOT NULL AND item_id IS NOT NULL")
+    bad = F.col("item").isNull() | F.col("item_id").isNull()
+    checked = F.when(bad, F.raise_error(F.lit("a row of the dictionary lacks its name or number")).cast("string")).otherwise(F.col("item"))
+    return raw.select(checked.alias("item"), "item_id")
+
+
+def read_snapshot(spark: SparkSession, path: str, columns: tuple[str, ...] = ()) -> DataFrame:
+    """A frame that was written as Parquet; columns that are asked for must be there."""
+    frame = spark.read.parquet(path)
+    if missing := [c for c in columns if c not in frame.columns]:
+        raise ValueError(f"missing columns: {missing}")
+    return frame
+
+
+def read_frame_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A frame that was written as CSV, by the schema that it had."""
+    return spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(path)
+
+
+def manual_entries(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    """Purchases entered by hand, as (source, date, item, qty)."""
+    return spark.createDataFrame(rows, "source string, date date, item string, qty int")
 
 
 def frozen_events(panel: DataFrame, label: str = "buy") -> DataFrame:

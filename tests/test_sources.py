@@ -95,7 +95,7 @@ def test_search_and_saving(spark, tmp_path):
 
 def test_next_trip(spark):
     df = spark.createDataFrame([(1, dt.date(2030, 1, 1), 0.9), (1, dt.date(2030, 1, 2), 0.2), (2, dt.date(2030, 1, 1), 0.5)], "item_id long, d date, score double")
-    assert {tuple(r) for r in learn.next_trip(df).collect()} == {(1, 0.2, False), (2, 0.5, True)}
+    assert {tuple(r) for r in learn.next_trip(df).collect()} == {(1, 0.2, False, 2), (2, 0.5, True, 1)}
 
 
 def test_lookups_of_nothing(spark):
