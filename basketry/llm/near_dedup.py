@@ -1,21 +1,30 @@
 """Near duplicates by a join on MinHash signature coordinates.
 
 1. Every document's set of word shingles gets a signature of K minimum hashes. Documents
-   with equal sets (told by count and a 128-bit fingerprint) become one class, whose
-   smallest id stands for it; copies go no further.
-2. Each class is posted under its K (coordinate, value) pairs. A pair of classes is wanted
-   when it collides in at least T coordinates. A posting that stands alone can't collide,
-   so a class with fewer than T postings in company has no partner and is skipped with all
-   its postings; that is repeated while it still removes many.
-3. Every class left joins the group of the smallest class that it shares most postings
-   with. Within a group, blocks of bounded bytes meet pairwise in one task each:
-   collisions are counted, pairs of at least T go on to an exact count on their full sets,
-   and of the links that hold a spanning forest leaves the task, never the pairs.
-4. Links give components. A posting counts now if it has classes of different components,
-   and classes with fewer than T of those are skipped as in 2: all partners of a class
-   that could still link two components are among the rest. The rest forms groups by
-   whatever postings they share, and those meet as in 3.
-5. Components of all forests are those of all links.
+   with equal sets (told by count and a 128-bit fingerprint) become one class, known by a
+   number; copies go no further.
+2. Each class is posted under its K (coordinate, value) pairs. Two classes are a candidate
+   pair when they collide in T coordinates or more. A posting that stands alone can't
+   collide, so a class with fewer than T postings in company has no partner and is skipped
+   with all of them; that is repeated while it still removes many.
+3. Prefix: let all classes order their m postings in company alike, rare ones first. Of two
+   classes with T collisions, one of the collisions is among the first m - T + 1 of either.
+   Only these prefixes are kept as lists, so common values are hardly ever listed.
+4. Lists are merged in rounds. In the first every class meets, in each of its lists, the
+   class whose postings have most company, as the original of many copies has; in later
+   ones the first class or the last in an order by chance that changes with the round. It
+   keeps the partner that it meets in most lists. Lists within one component and partners of the
+   own component are skipped. Collisions of the partners are counted on their signatures;
+   pairs of T or more are confirmed on their full sets, and confirmed links give components.
+   A round's work is in proportion to the lists, however many near copies a list has. Rounds
+   go on while they link much.
+5. What is still open is finished pair by pair. Short lists are merged: pairs of different
+   components under a list are put together by pair, counted and confirmed. A long list is
+   split by the classes' numbers into blocks; a block of classes outside of the list's
+   largest component meets each block in a task of its own, where a pair that shares an
+   earlier list is passed over and a class that is linked needs no further confirmation by
+   the same component. Only links leave the task.
+6. Components of all links are those of all pairs above the threshold.
 
 T is the highest number with which a pair at the threshold is missed with a probability of
 at most 1e-6: at 80 % similarity, collisions of 48 are fewer than 24 with a probability of
@@ -23,8 +32,9 @@ at most 1e-6: at 80 % similarity, collisions of 48 are fewer than 24 with a prob
 
 Null or empty texts and texts without words have an empty set and no links. A text of
 fewer words than a shingle is one shingle. Rows with a null id have no links and stay.
-Rows that share an id are one node. Very long texts are taken whole. Other columns, with
-whatever names, are left out.
+Rows that share an id are one node, whatever their texts, so ties among them don't arise;
+of a component's ids the smallest names it. An empty table gives an empty result. Very
+long texts are taken whole. Other columns, with whatever names, are left out.
 """
 
 from __future__ import annotations
@@ -34,18 +44,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm._spark import prepare, saved
+from basketry.llm._spark import BROADCAST_ROWS, Scratch, prepare, sized
 from basketry.llm._text import NOT_SPACE, grams, mix, slices, utf8, words
 from basketry.llm.graph import components
 
 K = 48
 #: Probability at most with which a pair at the threshold is missed.
 MISSED = 1e-6
-#: Bytes of sets in a block; two blocks meet in a task.
-BLOCK_BYTES = 4 << 20
+#: Classes of a list up to which it is merged pair by pair; a longer one is split in blocks.
+SHORT = 64
+#: Classes, and bytes of their sets, of a block on average; two blocks meet in a task.
+BLOCK_ROWS, BLOCK_BYTES = 512, 4 << 20
+#: Members that one copy of a partner's set serves.
+SERVED = 256
+#: A further round is worth while if the last one found more links than this share of the components that were open.
+WORTH = 0.05
+#: The columns that tell a set.
+SET = ["n_shingles", "fp_sum", "fp_xor"]
 
 U = np.uint64
 _rng = np.random.default_rng(4)
@@ -85,203 +103,281 @@ def _shingles(data: np.ndarray, off: np.ndarray, k: int) -> Iterator[tuple[int,
 
 
 def signatures(documents: DataFrame, shingle: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, fp_sum, fp_xor (fingerprint of the set), sig (K 32-bit values; null for an empty set)."""
+    """One row per document: doc_id, mark (hash of the text), n_shingles, fp_sum, fp_xor (fingerprint of the set), sig (K 32-bit values; null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = utf8(batch.column(1))
+            data, off = utf8(batch.column(2))
             for lo, hi, s, at in _shingles(data, off, shingle):
                 n = np.diff(at)
                 some = np.flatnonzero(n)
                 sig = np.empty((len(some), K), np.uint32)
                 for c in range(K if len(some) else 0):
                     sig[:, c] = np.minimum.reduceat((s ^ _FLIP[c]) * _TIMES[c], at[some]) >> U(32)
-                count, total, flips, raw = np.zeros(hi - lo, np.int64), np.zeros(hi - lo, np.int64), np.zeros(hi - lo, np.int64), [None] * (hi - lo)
-                for j, r in enumerate(some.tolist()):
+                count, total, flips = (np.zeros(hi - lo, np.int64) for _ in range(3))
+                for r in some.tolist():
                     own = np.unique(s[at[r] : at[r + 1]])
                     count[r] = len(own)
                     total[r], flips[r] = own.sum().view(np.int64), np.bitwise_xor.reduce(mix(own + U(77))).view(np.int64)
-                    raw[r] = sig[j].tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(count), pa.array(total), pa.array(flips), pa.array(raw, pa.binary())], names=["doc_id", "n_shingles", "fp_sum", "fp_xor", "sig"]
-                )
+                ends = np.concatenate(([0], np.cumsum((n > 0) * K))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(sig.reshape(-1).view(np.int32)), mask=pa.array(n == 0))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(2)), *map(pa.array, (count, total, flips)), lists], names=["doc_id", "mark", *SET, "sig"])
 
-    wanted = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return wanted.mapInArrow(run, "doc_id long, n_shingles long, fp_sum long, fp_xor long, sig binary")
+    wanted = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text_column).alias("mark"), F.col(text_column).alias("text"))
+    return wanted.mapInArrow(run, "doc_id long, mark long, n_shingles long, fp_sum long, fp_xor long, sig array<int>")
 
 
-def sets(documents: DataFrame, shingle: int) -> DataFrame:
-    """Of rows (doc_id, sig, text): the same with the sorted 64-bit set in the text's place."""
+def sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """Of rows (node, sig, text): the same with the sorted 64-bit set in the text's place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = utf8(batch.column(2))
             for lo, hi, s, at in _shingles(data, off, shingle):
                 raw = [np.unique(s[at[r] : at[r + 1]]).tobytes() for r in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(2)), pa.array(raw, pa.binary())], names=["doc_id", "sig", "shingles"])
-
-    return documents.select("doc_id", "sig", "text").mapInArrow(run, "doc_id long, sig binary, shingles binary")
-
-
-def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of every set of a with every set of b, by products of 0/1 matrices over what they share."""
-    one, two = np.concatenate(a), np.concatenate(b)
-    shared = np.intersect1d(np.unique(one), np.unique(two))
-    out = np.zeros((len(a), len(b)), np.float32)
-    row_a, row_b = np.repeat(np.arange(len(a)), [len(x) for x in a]), np.repeat(np.arange(len(b)), [len(x) for x in b])
-    if not len(shared):
-        return out
-
-    def places(h: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(shared, h)
-        at[at == len(shared)] = 0
-        return np.where(shared[at] == h, at, -1)
-
-    at_a, at_b = places(one), places(two)
-    width = max(64, (16 << 20) // (4 * (len(a) + len(b))))
-    for lo in range(0, len(shared), width):
-        m = [np.zeros((len(x), min(width, len(shared) - lo)), np.float32) for x in (a, b)]
-        for x, rows, at in zip(m, (row_a, row_b), (at_a, at_b)):
-            inside = (at >= lo) & (at < lo + width)
-            x[rows[inside], at[inside] - lo] = 1
-        out += m[0] @ m[1].T
-    return out
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(2)), pa.array(raw, pa.binary())], names=["node", "sig", "shingles"])
+
+    return rows.select("node", "sig", "text").mapInArrow(run, "node long, sig array<int>, shingles binary")
+
+
+def in_company(posted: DataFrame, least: int, scratch: Scratch) -> DataFrame:
+    """Of postings (key, node): node, own (its postings with others' company as (posted, key), rarest first), for nodes with `least` or more."""
+    left = None
+    while True:
+        shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("posted")).where("posted > 1")
+        own = F.sort_array(F.collect_list(F.struct("posted", "key"))).alias("own")
+        nodes = scratch.save(posted.join(shared, "key").groupBy("node").agg(own).where(F.size("own") >= least), "company")
+        now = nodes.agg(F.coalesce(F.sum(F.size("own")), F.lit(0))).first()[0]
+        if not now or left is not None and now > 0.8 * left:
+            return nodes
+        left, posted = now, nodes.select(F.explode("own.key").alias("key"), "node")
+
+
+def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have the similarity."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    if 100 * len(small) < percent * len(large):
+        return False
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    common = int((large[at] == small).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
 
+def _sent(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], schema=LINK)
 
-def _links(doc_a: np.ndarray, sig_a: np.ndarray, set_a: list[np.ndarray], doc_b: np.ndarray, sig_b: np.ndarray, set_b: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between rows of a and rows of b (the same rows, or others)."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (y := parent.get(x, x)) != x:
-            parent[x] = x = parent.get(y, y)
-        return x
-
-    size_a, size_b = np.array([len(x) for x in set_a]), np.array([len(x) for x in set_b])
-    forest, least = [], least_collisions(percent)
-    step = 128 if len(doc_a) * len(doc_b) > 256 else len(doc_a)
-    for lo in range(0, len(doc_a), step):
-        hits = np.zeros((min(step, len(doc_a) - lo), len(doc_b)), np.uint8)
-        for c in range(K):
-            hits += sig_a[lo : lo + step, c, None] == sig_b[None, :, c]
-        part_a = size_a[lo : lo + step, None]
-        wanted = (hits >= least) & (100 * np.minimum(part_a, size_b) >= percent * np.maximum(part_a, size_b)) & (doc_a[lo : lo + step, None] != doc_b)
-        if doc_a is doc_b:
-            wanted &= np.arange(lo, lo + len(hits))[:, None] < np.arange(len(doc_b))
+
+def confirmed(pairs: DataFrame, full: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b): those of the pairs (node, partner) whose sets of (node, sig, shingles) have T collisions and the similarity.
+
+    A partner's set goes to as many tasks as its members need, SERVED to each copy.
+    """
+    least = least_collisions(percent)
+    pairs = scratch.save(pairs.select("node", "partner").distinct(), "pairs")
+    small = pairs.count() <= BROADCAST_ROWS
+    copies = pairs.groupBy("partner").agg(F.ceil(F.count(F.lit(1)) / SERVED).cast("int").alias("copies"))
+    copies = F.broadcast(copies) if small else copies
+    members = pairs.join(copies, "partner").select("node", "partner", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int").alias("copy"))
+    members = full.join(F.broadcast(members) if small else members, "node").select("partner", "copy", F.lit(1).alias("member"), "node", "sig", "shingles")
+    heads = full.join(copies, F.col("node") == F.col("partner")).select("partner", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("member"), "node", "sig", "shingles")
+    rows = heads.unionByName(members).repartition("partner", "copy").sortWithinPartitions("partner", "copy", "member")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sig, own = None, None
+        for batch in batches:
+            links = []
+            sigs = batch.column(4).flatten().to_numpy().reshape(-1, K)
+            for i, (partner, member, node) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)))):
+                if not member:
+                    sig, own = sigs[i].copy(), np.frombuffer(batch.column(5)[i].as_py(), np.uint64)
+                elif (sig == sigs[i]).sum() >= least and _alike(own, np.frombuffer(batch.column(5)[i].as_buffer(), np.uint64), percent):
+                    links.append((node, partner))
+            yield _sent(links)
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+Row = tuple[int, int, int, np.ndarray, np.ndarray]
+
+
+def _met(one: list[Row], two: list[Row], percent: int, least: int) -> list[tuple[int, int]]:
+    """Links between two blocks of rows (node, component, coordinates of earlier lists, signature, set), or within one (given twice): enough to tie the components that they tie.
+
+    A pair that shares an earlier list is passed over: it is looked at there.
+    """
+    nodes, parts, before = (([r[k] for r in one], np.array([r[k] for r in two], np.int64)) for k in range(3))
+    _, inverse = np.unique(np.concatenate((parts[0], parts[1])), return_inverse=True)
+    part_a, part_b = inverse[: len(one)].copy(), inverse[len(one) :].copy()
+    bits = np.int64(1) << np.arange(K, dtype=np.int64)
+    early_a, early_b = ((np.array(x, np.int64)[:, None] & bits) != 0 for x in before)
+    sig_a, sig_b = np.stack([r[3] for r in one]), np.stack([r[3] for r in two])
+    size_a, size_b = (np.array([len(r[4]) for r in x]) for x in (one, two))
+    value, places = np.unique(np.concatenate([r[4] for r in (*one, *two)]), return_inverse=True)
+    places_a, places_b = np.split(places[: size_a.sum()], np.cumsum(size_a)[:-1]), places[size_a.sum() :]
+    begin_b, held = np.cumsum(size_b) - size_b, np.zeros(len(value), bool)
+    links = []
+    for i in range(len(one)):
+        same = sig_b == sig_a[i]
+        wanted = (same.sum(1) >= least) & (part_b != part_a[i]) & ~(same & early_b & early_a[i]).any(1)
+        wanted &= 100 * np.minimum(size_a[i], size_b) >= percent * np.maximum(size_a[i], size_b)
+        if one is two:
+            wanted[: i + 1] = False
         if not wanted.any():
             continue
-        if wanted.sum() > 64:
-            rows, columns = np.flatnonzero(wanted.any(1)), np.flatnonzero(wanted.any(0))
-            common = np.zeros(wanted.shape, np.int64)
-            common[np.ix_(rows, columns)] = _common([set_a[lo + r] for r in rows], [set_b[c] for c in columns])
-            wanted &= 100 * common >= percent * (part_a + size_b - common)
-        else:
-            for r, c in np.argwhere(wanted).tolist():
-                common = len(np.intersect1d(set_a[lo + r], set_b[c], assume_unique=True))
-                wanted[r, c] = 100 * common >= percent * (size_a[lo + r] + size_b[c] - common)
-        for r, c in np.argwhere(wanted).tolist():
-            a, b = int(doc_a[lo + r]), int(doc_b[c])
-            x, y = root(a), root(b)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                forest.append((a, b))
-    return forest
-
-
-def verified(blocks: DataFrame, percent: int) -> DataFrame:
-    """Of rows (cluster, i, j, block, doc_id, sig, shingles), sorted by the first three: links (a, b) of each block pair."""
-    link = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def meet(rows: list[tuple]) -> list[tuple[int, int]]:
-        sides = []
-        for block in sorted({r[0] for r in rows}):
-            own = [r for r in rows if r[0] == block]
-            sides.append((np.array([r[1] for r in own]), np.stack([np.frombuffer(r[2], np.uint32) for r in own]), [np.frombuffer(r[3], np.uint64) for r in own]))
-        return _links(*sides[0], *sides[-1], percent)
+        held[places_a[i]] = True
+        common = np.add.reduceat(held[places_b].view(np.int8), begin_b, dtype=np.int64)
+        held[places_a[i]] = False
+        linked = np.flatnonzero(wanted & (100 * common >= percent * (size_a[i] + size_b - common)))
+        _, first = np.unique(part_b[linked], return_index=True)
+        for j in linked[first].tolist():
+            links.append((nodes[0][i], int(nodes[1][j])))
+            old, new = part_b[j], part_a[i]
+            part_a[part_a == old] = new
+            part_b[part_b == old] = new
+    return links
+
+
+def confirmed_in_blocks(lists: DataFrame, full: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) among the classes of each list (key, node, component, before): every pair of different components is looked at, in the first list that it shares."""
+    least = least_collisions(percent)
+    sizes = full.select("node", F.octet_length("shingles").cast("long").alias("bytes"))
+    held = scratch.save(lists.join(sizes, "node"), "held")
+    parts = held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / BLOCK_ROWS), F.ceil(size / BLOCK_BYTES)).cast("int")
+    top = F.max_by(F.struct("component", "n", "bytes"), F.struct("n", "component")).alias("top")
+    totals = parts.groupBy("key").agg(top, F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).select(
+        "key", F.col("top.component").alias("largest"), blocks(F.col("top.n"), F.col("top.bytes")).alias("larges"), blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("others")
+    )
+    placed = held.join(sized(scratch.save(totals, "totals")), "key")
+    inside = F.col("component") == F.col("largest")
+    block = F.pmod(F.xxhash64("node"), F.when(inside, F.col("larges")).otherwise(F.col("others"))).cast("int")
+    placed = placed.select("key", "node", "component", "before", inside.alias("inside"), "larges", "others", block.alias("block"))
+    # Blocks of the largest component have numbers behind those of the others; they meet the others alone.
+    number = F.when(F.col("inside"), F.col("others") + F.col("block")).otherwise(F.col("block"))
+    met = F.when(F.col("inside"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") + F.col("larges") - 1))
+    spread = placed.select("key", "node", "component", "before", number.alias("own"), F.explode(met).alias("other"))
+    rows = spread.join(full, "node").select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "before", "sig", "shingles")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def meet(unit: tuple[int, int, int] | None, sides: dict[int, list[Row]]) -> list[tuple[int, int]]:
+        if len(sides) == 2 or sides and unit[1] == unit[2]:
+            found = list(sides.values())
+            return _met(found[0], found[-1], percent, least)
+        return []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, out = None, [], []
+        unit, sides = None, {}
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for cluster, i, j, *row in zip(*columns):
-                if (cluster, i, j) != key:
-                    out += meet(rows) if len(rows) > 1 else []
-                    key, rows = (cluster, i, j), []
-                rows.append(tuple(row))
-            if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], schema=link)
-                out = []
-        out += meet(rows) if len(rows) > 1 else []
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], schema=link)
-
-    return blocks.mapInArrow(run, "a long, b long")
-
-
-def _links_within(groups: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among the members of each group, from rows (cluster, doc_id) and (doc_id, sig, shingles)."""
-    sizes = groups.join(full.select("doc_id", F.octet_length("shingles").cast("long").alias("bytes")), "doc_id").groupBy("cluster", "doc_id").agg(F.sum("bytes").alias("bytes"))
-    running = F.sum("bytes").over(Window.partitionBy("cluster").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
-    placed = sizes.select("doc_id", "cluster", F.floor(F.coalesce(running, F.lit(0)) / BLOCK_BYTES).cast("int").alias("block"))
-    last = placed.groupBy("cluster").agg(F.max("block").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    other = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")
-    placed = placed.join(last, "cluster").select("doc_id", "cluster", "block", other)
-    pairs = placed.join(full, "doc_id").select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "sig", "shingles")
-    return verified(pairs.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j"), percent)
-
-
-def _in_company(posted: DataFrame, least: int) -> DataFrame:
-    """Of postings (key, node, own): those under whose key others than own are posted, if their node has `least` or more of them; with first, the key's smallest node. Without own, each node is its own: a column less to shuffle."""
-    together = Window.partitionBy("key")
-    rest = [c for c in posted.columns if c == "own"]
-    own = "own" if rest else "node"
-    left = None
-    for _ in range(4):
-        company = posted.select("key", "node", *rest, F.min(own).over(together).alias("low"), F.max(own).over(together).alias("high"), F.min("node").over(together).alias("first"))
-        company = company.where("low != high")
-        kept = company.select("key", "node", *rest, "first", F.count(F.lit(1)).over(Window.partitionBy("node")).alias("m")).where(F.col("m") >= least)
-        kept = saved(kept.drop("m"), "postings")
-        now = kept.count()
-        if left is not None and now > 0.9 * left or not now:
+            links = []
+            sigs = batch.column(7).flatten().to_numpy().reshape(-1, K)
+            for x, (key, i, j, own, *row) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:7]))):
+                if (key, i, j) != unit:
+                    links += meet(unit, sides)
+                    unit, sides = (key, i, j), {}
+                sides.setdefault(own, []).append((*row, sigs[x].copy(), np.frombuffer(batch.column(8)[x].as_py(), np.uint64)))
+            yield _sent(links)
+        yield _sent(meet(unit, sides))
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _open(lists: DataFrame, found: DataFrame | None) -> DataFrame:
+    """The lists (key, node, centre, before) with each node's component, without those in one component; with the list's length."""
+    if found is None:
+        placed = lists.withColumn("component", F.col("node"))
+    else:
+        placed = lists.join(sized(found), "node", "left").select("key", "node", "centre", "before", F.coalesce("component", "node").alias("component"))
+    state = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("length")).where("low != high")
+    return placed.join(state.select("key", "length"), "key")
+
+
+def links(lists: DataFrame, full: DataFrame, percent: int, scratch: Scratch) -> DataFrame | None:
+    """Links (a, b) with the components of all links among the classes that share a list, from (key, node, centre, before) and (node, sig, shingles); None without a link."""
+    all_links, number, fresh, found = None, 0, False, None
+
+    def more(new: DataFrame) -> int:
+        """Adds links; how many there are."""
+        nonlocal all_links, number, fresh
+        number += 1
+        new = scratch.save(new, f"links {number}")
+        if n := new.count():
+            all_links = new if all_links is None else all_links.unionByName(new)
+            fresh = True
+        return n
+
+    def open_lists(lists: DataFrame) -> DataFrame:
+        """_open, by the components of the links so far."""
+        nonlocal fresh, found
+        if fresh:
+            found, fresh = components(all_links, scratch, rounds=1), False
+        return _open(lists, found)
+
+    while True:
+        held = scratch.save(open_lists(lists).where(F.col("length") > SHORT * bool(number)), "open")
+        parts = held.select("component").distinct().count()
+        if not parts:
             break
-        left, posted = now, kept.select("key", "node", *rest)
-    return kept
+        by_chance = F.struct(F.xxhash64("node", F.lit(number)).alias("at"), "component", "node")
+        first = F.struct("centre", "component", "node") if not number else by_chance
+        ends = held.groupBy("key").agg(F.max(first).alias("first"), F.min(by_chance).alias("last"))
+        partner = F.when(F.col("first.component") != F.col("component"), F.col("first.node")).when(F.col("last.component") != F.col("component"), F.col("last.node"))
+        met = held.join(ends, "key").select("node", partner.alias("partner")).where("partner IS NOT NULL").groupBy("node", "partner").agg(F.count(F.lit(1)).alias("n"))
+        best = met.groupBy("node").agg(F.max_by("partner", F.struct("n", "partner")).alias("partner"))
+        if more(confirmed(best, full, percent, scratch)) <= WORTH * parts and number > 1:
+            break
+    held = scratch.save(open_lists(lists), "open")
+    short = held.where(F.col("length") <= SHORT)
+    a, b = (short.select("key", F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in ("node", "partner"))
+    more(confirmed(a.join(b, "key").where("node < partner AND of_node != of_partner"), full, percent, scratch))
+    long = scratch.save(held.where(F.col("length") > SHORT).select("key", "node", "centre", "before"), "long")
+    if long.count():
+        held = scratch.save(open_lists(long).select("key", "node", "component", "before"), "open")
+        more(confirmed_in_blocks(held, full, percent, scratch))
+    return all_links
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     least = least_collisions(percent)
-    prepare(documents.sparkSession)
-    signed = saved(signatures(documents, shingle, id_column, text_column), "signatures")
-    same = ["n_shingles", "fp_sum", "fp_xor"]
+    scratch = Scratch(prepare(documents.sparkSession))
+    signed = scratch.save(signatures(documents, shingle, id_column, text_column), "signatures")
     own = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = own.groupBy(*same).agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("copies"))
-    classes = saved(classes, "classes")
-
-    value = F.hex(F.substring("sig", F.col("c") * 4 + 1, 4))
-    coordinates = F.explode(F.sequence(F.lit(0), F.lit(K - 1))).alias("c")
-    posted = classes.select("node", "sig", coordinates).select(F.xxhash64("c", value).alias("key"), "node")
-    kept = _in_company(posted, least)
-    left = kept.select(F.col("node").alias("doc_id")).distinct()
-    texts = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    members = classes.select(F.col("node").alias("doc_id"), "sig").join(left, "doc_id", "left_semi")
-    full = saved(sets(texts.join(members, "doc_id"), shingle), "sets")
-
-    shared = kept.where("node != first").groupBy("node", "first").agg(F.count(F.lit(1)).alias("n"))
-    best = shared.groupBy("node").agg(F.max(F.struct("n", (-F.col("first")).alias("first"))).alias("best"))
-    groups = best.select((-F.col("best.first")).alias("cluster"), F.col("node").alias("doc_id"))
-    groups = groups.unionByName(groups.select("cluster", F.col("cluster").alias("doc_id"))).distinct()
-    links = saved(_links_within(groups, full, percent), "links")
-
-    found = components(links)
-    open_ = kept.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("own"))
-    rest = _in_company(open_, least)
-    stars = rest.where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    groups = components(stars).select(F.col("component").alias("cluster"), F.col("node").alias("doc_id"))
-    links = links.unionByName(_links_within(groups, full, percent))
-
-    # A class whose copies have other ids links them too; rows that share an id tie their classes.
-    tied = own.join(classes.where("copies > 1").select(*same, "node"), same).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    found = components(links.unionByName(tied))
-    joined = signed.join(found, signed["doc_id"] == found["node"], "left")
-    component = F.coalesce("component", "doc_id")
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    classes = own.groupBy(*SET).agg(F.min(F.struct("doc_id", "mark")).alias("low"), F.first("sig").alias("sig"))
+    classes = scratch.save(classes.select(F.monotonically_increasing_id().alias("node"), *SET, "low", "sig"), "classes")
+
+    posted = classes.select("node", F.posexplode("sig").alias("c", "value"))
+    posted = posted.select((F.shiftleft(F.col("c").cast("long"), 32) + F.col("value")).alias("key"), "node")
+    company = in_company(posted, least, scratch)
+    centre = F.aggregate("own", F.lit(0).cast("long"), lambda x, y: x + y["posted"])
+    bit = lambda y: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(y["key"] + (1 << 31), 32).cast("int"))
+    prefix = F.slice("own", 1, F.size("own") - least + 1)
+    prefix = F.transform(prefix, lambda x, i: F.struct(x["key"].alias("key"), F.aggregate(F.slice("own", 1, i), F.lit(0).cast("long"), lambda m, y: m + bit(y)).alias("before")))
+    lists = company.select("node", centre.alias("centre"), F.explode(prefix).alias("own")).select("own.key", "node", "centre", "own.before")
+    lists = scratch.save(lists, "lists")
+    members = classes.join(company.select("node"), "node", "left_semi").select("node", "sig", F.col("low.doc_id").alias("doc_id"), F.col("low.mark").alias("mark"))
+    texts = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text_column).alias("mark"), F.col(text_column).alias("text"))
+    full = scratch.save(sets(texts.join(members, ["doc_id", "mark"]), shingle), "sets")
+    scratch.drop("company")
+    edges = links(lists, full, percent, scratch)
+
+    # Rows that share an id tie their classes.
+    ends = own.groupBy("doc_id").agg(*(f(c).alias(f"{n}_{c}") for c in SET for n, f in (("low", F.min), ("high", F.max))))
+    shared = scratch.save(ends.where(" OR ".join(f"low_{c} != high_{c}" for c in SET)).select("doc_id"), "shared")
+    if shared.count():
+        ties = scratch.save(own.join(sized(shared), "doc_id").join(classes.select(*SET, "node"), SET).select("doc_id", "node").distinct(), "ties")
+        ties = ties.join(ties.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").select(F.col("node").alias("a"), "b")
+        edges = ties if edges is None else edges.unionByName(ties)
+    answers = classes.select("node", *SET, F.col("low.doc_id").alias("low"))
+    if edges is not None:
+        placed = answers.join(components(edges, scratch), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        lows = placed.groupBy("component").agg(F.min("low").alias("low"))
+        answers = placed.drop("low").join(lows, "component")
+    joined = signed.select("doc_id", *SET).join(answers.select(*SET, "low"), SET, "left")
+    component = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("low")).otherwise(F.col("doc_id"))
+    out = scratch.save(joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")), "near")
+    scratch.drop(*(x for x in [*scratch.paths] if x != "near"))
+    return out
