@@ -6,8 +6,11 @@ sequence of its own and pieces of one length share a bucket: batches are drawn f
 bucket at a time, so nothing is padded and no sequence crosses documents.
 
 Every row is handled by itself: one pass over the input, no shuffle. Null and empty
-texts give the one piece of their end token. Repeated rows are packed each. Other
-columns of the input are left out, whatever their names.
+texts give the one piece of their end token. Repeated rows, rows that share an id and rows
+with a null id are packed each. There are no ties: a document's pieces are in the order of
+its tokens, its longest ones first. Very long texts are taken whole; a worker holds one of
+them with its ids at a time. An empty table gives an empty result. Other columns of the
+input are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm._spark import prepare
-from basketry.llm._text import AS_IS, NOT_BLANK, SLICE, slices, utf8, words
+from basketry.llm._text import AS_IS, NOT_BLANK, slices, utf8, words
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, ids binary"
 #: Pieces leave a worker in batches of about so many bytes.
@@ -42,17 +45,21 @@ class Encoder:
     The tokenizer's own pattern starts a new part at every space that something other than
     white space follows, and its merges never cross parts. So the ids of a text are those
     of its words with the space before each, and each word is merged once for a slice of
-    texts. A text in which a space ends it or has white space behind it is taken whole.
+    texts. A text in which a space ends it or has white space behind it is taken whole, and
+    so is one that holds the text of one of the tokenizer's added tokens: that is the
+    token, as in the library, unless the tokenizer is told to encode it as ordinary text.
 
     What isn't known yet is merged by a faster library where that must give the same ids:
     for common characters, if the vocabulary numbers its merges in their order.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content.encode() for t in added if not (t.special and special_as_text)]
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.fast = self._ranked(path)
@@ -74,8 +81,11 @@ class Encoder:
     def _batch(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _holds_added(self, text: bytes) -> bool:
+        return any(x in text for x in self.added)
+
     def _whole(self, text: bytes) -> bytes:
-        if self.fast is not None and not _RARE[np.frombuffer(text, np.uint8)].any():
+        if self.fast is not None and not _RARE[np.frombuffer(text, np.uint8)].any() and not self._holds_added(text):
             return np.array(self.fast.encode_ordinary(text.decode()), np.uint32).tobytes()
         return self._batch([text.decode()])[0].tobytes()
 
@@ -115,7 +125,7 @@ class Encoder:
         cut = np.concatenate(([0], total))
         out = []
         for i, t in enumerate(texts):
-            if not t or _WIDE.search(t.decode()):
+            if not t or _WIDE.search(t.decode()) or self._holds_added(t):
                 out.append(self._whole(t))
             elif t[0] == 32:
                 out.append(ids[cut[at[i]] : cut[at[i + 1]]].tobytes())
@@ -124,16 +134,16 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
+    if (path, special_as_text) not in _encoders:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+        _encoders[path, special_as_text] = Encoder(path, special_as_text)
+    return _encoders[path, special_as_text]
 
 
 def pieces(n: int, longest: int) -> list[int]:
@@ -142,8 +152,8 @@ def pieces(n: int, longest: int) -> list[int]:
     return [longest] * whole + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def pack(documents: DataFrame, tokenizer: str, longest: int = 1024, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per piece: doc_id, start, length, doc_tokens, ids (little-endian unsigned 32-bit), sequence_id, offset, bucket."""
+def pack(documents: DataFrame, tokenizer: str, longest: int = 1024, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text", special_as_text: bool = False) -> DataFrame:
+    """One row per piece: doc_id, start, length, doc_tokens, ids (little-endian unsigned 32-bit), sequence_id, offset, bucket. With special_as_text, the texts of special tokens are no tokens."""
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
     prepare(documents.sparkSession)
@@ -151,13 +161,13 @@ def pack(documents: DataFrame, tokenizer: str, longest: int = 1024, end_id: int
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, special_as_text).encode
         rows: list[list] = [[], [], [], [], []]
         size = 0
         for batch in batches:
             docs = batch.column(0).to_pylist()
             data, off = utf8(batch.column(1))
-            for lo, hi in slices(off, 4 * SLICE):
+            for lo, hi in slices(off):
                 for doc, ids in zip(docs[lo:hi], encode(data, off, lo, hi)):
                     ids += end
                     n, start = len(ids) >> 2, 0
