@@ -13,7 +13,7 @@ import pytest
 
 from basketry.llm import _text, chat, decontaminate, exact_dedup, html_extract, near_dedup, packing, sharding, token_count, toxicity, warc
 
-P = pytest.importorskip("public_tokenizers")
+import public_tokenizers as P
 RNG = random.Random(5)
 WORDS = ["".join(RNG.choice("abcdeé") for _ in range(RNG.randint(1, 5))) for _ in range(60)]
 
@@ -41,11 +41,14 @@ def test_packing(docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     got = defaultdict(list)
-    for r in packing.pack(docs, P.path("byte_bpe_50k.json"), longest=64).collect():
+    texts = [*TEXTS, "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y  <|endoftext|> ", "<|endoftext"]
+    d = docs.select("doc_id", "text").unionByName(docs.sparkSession.createDataFrame(list(enumerate(texts))[len(TEXTS) :], "doc_id long, text string"))
+    for r in packing.pack(d, P.path("byte_bpe_50k.json"), longest=64).collect():
         got[r.doc_id].append(r)
-    for i, text in enumerate(TEXTS):
+    plain = packing.Encoder(P.path("byte_bpe_50k.json"), special_as_text=True)
+    assert 50256 not in plain.tokenizer.encode(texts[-3], add_special_tokens=False).ids and 50256 in t.encode(texts[-3], add_special_tokens=False).ids
+    for i, text in enumerate(texts):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
         parts = sorted(got[i], key=lambda r: r.start)
         assert b"".join(r.ids for r in parts) == b"".join(x.to_bytes(4, "little") for x in ids)
@@ -204,6 +207,17 @@ def test_contamination_of_rows_that_share_an_id(spark, monkeypatch):
 
 def test_sharding(docs):
     rows = sharding.shard(docs, shards=4, slots=64).collect()
+    slots, taken = {}, Counter()
+    for i, t in enumerate(TEXTS):
+        slots.setdefault(t or "", set()).update((r.virtual_slot, r.shard) for r in rows if r.doc_id == i)
+    assert all(len(x) == 1 for x in slots.values())
+    sums, of = Counter(), {}
+    for r in rows:
+        sums[r.virtual_slot] += r.size
+        of[r.virtual_slot] = r.shard
+    for slot in sorted(sums, key=lambda x: (-sums[x], x)):  # the largest slot first, each to the least shard
+        taken[of[slot]] += sums[slot]
+        assert taken[of[slot]] - sums[slot] == min(taken[s] - (sums[slot] if s == of[slot] else 0) for s in range(4))
     assert {r.doc_id: (r.size, r.text_crc32) for r in rows} == {i: (len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in enumerate(TEXTS)}
     for s in range(4):
         own = [r.slot for r in rows if r.shard == s]
@@ -249,9 +263,11 @@ def test_toxicity(spark):
 
 def test_chat(spark):
     rows = [(1, 0, "a", "x"), (1, 1, "b", None), (1, 300, "a", "é"), (1, 300, "a", "é"), (2, None, None, "q"), (None, 5, "b", "w")]
-    got = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    rows += [(3, None, f"s{k % 3}", f"t{k}") for k in range(40)]
+    got = chat.rotate(spark.createDataFrame([(*r, "c", 1) for r in rows], "conv_id long, turn long, role string, text string, content string, block int"), blocks=5).collect()
     for conv, perspective in {(r.conv_id, r.perspective) for r in got}:
         own = sorted((r for r in got if (r.conv_id, r.perspective) == (conv, perspective)), key=lambda r: r.start)
+        assert [(r.turn is not None, r.turn or 0, r.speaker) for r in own] == sorted((r.turn is not None, r.turn or 0, r.speaker) for r in own)
         whole = "".join(r.rendered for r in own)
         assert [r.position for r in own] == list(range(len(own)))
         for r in own:
@@ -262,8 +278,16 @@ def test_chat(spark):
 
 def test_warc(spark):
     pages = [(i, f"http://h/{i}", "same" if i % 3 == 0 else f"page {i} é" * 50) for i in range(40)] + [(50, None, None), (51, "u\r\nv", "")]
-    archive = warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3))
-    got = {r.page_id: r for r in warc.read_archives(spark, archive).collect()}
+    more = [(60, "a", "twice"), (60, "a", "twice"), (59, "b", "twice"), (61, "c", "x"), (61, "c", "y"), (None, "n", "z"), (None, "n", "z"), (None, "m", "same")]
+    archive = warc.write_archives(spark.createDataFrame([(*p, 1, "d") for p in pages + more], "page_id long, url string, html string, refers_to int, digest string").repartition(3))
+    every = warc.read_archives(spark, archive).collect()
+    ids = [r.record_id for r in archive.index.collect()]
+    assert len(ids) == len(set(ids)) == len(every) == len(pages) + len(more)
+    assert sorted((r.page_id or 0, r.url, r.record_type, r.refers_to) for r in every if r.page_id in (None, 59, 60, 61)) == [
+        (0, "m", "revisit", 39), (0, "n", "response", None), (0, "n", "response", None), (59, "b", "revisit", 60), (60, "a", "response", None), (60, "a", "response", None), (61, "c", "response", None), (61, "c", "response", None)
+    ]
+    assert {r.url for r in every if r.page_id == 51} == {"u\r\nv"}
+    got = {r.page_id: r for r in every}
     largest = {}
     for i, _, h in pages:
         largest[h or ""] = max(i, largest.get(h or "", -1))
@@ -276,6 +300,11 @@ def test_warc(spark):
     row = archive.index.where("page_id = 1").first()
     head, block = warc.read_record(archive, row.bundle, row.frame, row.frame_offset)
     assert head["WARC-Record-ID"] == row.record_id and block.endswith(pages[1][2].encode())
+    at = {r.page_id: r for r in archive.index.collect()}
+    head, _ = warc.read_record(archive, at[3].bundle, at[3].frame, at[3].frame_offset)
+    assert head["WARC-Refers-To"] == at[39].record_id
+    small = warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string"), least=10)
+    assert {r.record_type for r in warc.read_archives(spark, small).collect()} == {"response"}
 
 
 def test_words_match_a_regex():
@@ -355,7 +384,6 @@ def test_pipeline_against_brute_force(spark):
     docs = {i: t for i, t in docs.items() if not any(spans(find(t), n) & found for n, found in windows.items())}
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     got = defaultdict(list)
     for r in corpus_pipeline.run(spark, sf).collect():
         got[r.doc_id].append((r.start, r.ids))
