@@ -57,7 +57,7 @@ MISSED = 1e-6
 #: Classes of a list up to which it is merged pair by pair; a longer one is split in blocks.
 SHORT = 64
 #: Classes, and bytes of their sets, of a block on average; two blocks meet in a task.
-BLOCK_ROWS, BLOCK_BYTES = 512, 4 << 20
+BLOCK_ROWS, BLOCK_BYTES = 2048, 4 << 20
 #: Members that one copy of a partner's set serves.
 SERVED = 256
 #: A further round is worth while if the last one found more links than this share of the components that were open.
