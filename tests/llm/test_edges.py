@@ -80,7 +80,8 @@ def test_counts_and_signatures_of_odd_rows(odd):
 def test_near_duplicates_of_odd_rows(odd):
     rows, df = odd
     got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(df, 3, 80).collect())
-    sizes = [len({tuple(t.split()[k : k + 3]) for k in range(max(1, len(t.split()) - 2))}) if t and t.split() else 0 for _, t in rows]
+    words = [(t or "").split() for _, t in rows]
+    sizes = [len({tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))}) if w else 0 for w in words]
     # Texts of null ids have no links; id 1 has two texts and so ties what either is linked to; the long texts are near copies.
     name = {1: 1, 6: 1, 4: 4, 5: 4}
     assert got == Counter((i, n, name.get(i, i), name.get(i, i) == i) for (i, _), n in zip(rows, sizes))
@@ -176,13 +177,13 @@ def test_a_grown_map_moves_slots_alone(spark, tmp_path):
 def test_toxicity_of_odd_rows(spark, odd):
     rows, df = odd
     labels = spark.createDataFrame([(i, int(i % 2)) for i in range(100, 160)] + [(100, 0), (1, None), (1, 0), (5, 0)], "doc_id long, toxic int")
-    learned = docs_of(spark, [(i, "plain words here. " + ("you grobnik. and grobnik" if i % 2 else "kind words")) for i in range(100, 160)] * 2)
+    learned = docs_of(spark, [(i, f"plain words n{i} here. " + ("you grobnik. and grobnik" if i % 2 else "kind words")) for i in range(100, 160)] * 2)
     both = df.unionByName(learned)
     model = toxicity.fit(both, labels)
     got = toxicity.score(both, model).collect()
     assert len(got) == len(rows) + 120 and all(r.score is not None and 0 <= r.score <= 1 for r in got)
     tie = next(r for r in got if r.doc_id == 101)
-    text = "plain words here. you grobnik. and grobnik"
+    text = "plain words n101 here. you grobnik. and grobnik"
     assert text[tie.worst_start : tie.worst_end] == "you grobnik"
     assert {r.score for r in got if r.doc_id == 3} == {0.0}
 
