@@ -157,10 +157,3 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     archive = write_archives(table(spark, sf_dir, "pages"))
     return read_archives(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "bundle", "frame", "frame_offset")
-
-
-@query
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
