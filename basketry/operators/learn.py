@@ -65,11 +65,11 @@ def split_stratified(df: DataFrame, label: str, share: float = 0.8) -> tuple[Dat
 
 def boosted_model(rows: DataFrame, trees: int = 10, depth: int = 4, validation: float = 0.0, patience: float = 0.01, seed: int = 42):
     """Boosted trees of (features, label). With validation, that share of rows isn't trained on, and training ends early when the loss on them no longer falls by `patience`."""
-    trainer = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed)
+    trainer = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, validationTol=patience)
     if not validation:
         return trainer.fit(rows)
     held = F.pmod(F.xxhash64("features", "label"), F.lit(1000)) < round(1000 * validation)
-    return trainer.setValidationIndicatorCol("_validation").setValidationTol(patience).fit(rows.withColumn("_validation", held))
+    return trainer.setParams(validationIndicatorCol="_validation").fit(rows.withColumn("_validation", held))
 
 
 def boosted_scores(df: DataFrame, columns: list[str], label: str, trees: int = 10, validation: float = 0.1) -> DataFrame:

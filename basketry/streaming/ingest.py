@@ -13,10 +13,15 @@ def receipt_stream(spark: SparkSession, path: str) -> DataFrame:
     return receipts.events(receipts.parse(raw.select(F.col("_metadata.file_name").alias("source"), "value")))
 
 
-def without_copies(events: DataFrame, late: str = "30 days") -> DataFrame:
-    """Events of a receipt that came in another file already, within the watermark, are left out: of rows alike in day, time, item and quantity one stays."""
-    timed = events.withColumn("ts", F.col("d").cast("timestamp")).withWatermark("ts", late)
-    return timed.dropDuplicatesWithinWatermark(["ts", "t", "item", "qty"]).drop("ts")
+def without_copies(parsed: DataFrame, late: str = "30 days") -> DataFrame:
+    """Parsed receipts without those that came in another file already: of receipts with one date, time and multiset of items one stays. On a stream, copies are told within the watermark. Receipts without a date go."""
+    line = F.transform("items", lambda i: F.concat_ws("|", i["item"], i["qty"].cast("string")))
+    signature = F.sha2(F.array_join(F.array_sort(line), "\n"), 256)
+    day = F.coalesce(F.try_to_timestamp("date", F.lit("M/d/yyyy")), F.try_to_timestamp("date", F.lit("M/d/yy")))
+    dated = parsed.withColumns({"_at": day, "_signature": signature}).where("_at IS NOT NULL")
+    keys = ["_at", "time", "_signature"]
+    alone = dated.withWatermark("_at", late).dropDuplicatesWithinWatermark(keys) if parsed.isStreaming else dated.dropDuplicates(keys)
+    return alone.drop("_at", "_signature")
 
 
 def daily_counts(events: DataFrame, late: str = "30 days") -> DataFrame:
