@@ -13,8 +13,11 @@ rounded), the best score of a text is the sum over its words. Each word is count
 for a slice of texts and kept in a bounded table for those that come again. With any other
 vocabulary, texts are counted whole.
 
-One pass, no shuffle. Null and empty texts have no tokens. Repeated rows are counted each;
-other columns are left out.
+One pass, no shuffle. Null and empty texts have no tokens. Repeated rows, rows that share an
+id and null ids are counted each. Ties of scores are settled by the rule above. Very long
+texts are counted whole, by word where words are independent, else with a number for each
+character. An empty table gives an empty result. Other columns, whatever their names, are
+left out.
 """
 
 from __future__ import annotations
