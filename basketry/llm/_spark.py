@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Bytes of a batch that goes to a Python worker; a longer row is a batch of its own.
 BATCH_BYTES = 4 << 20
 #: Rows up to which a table of a few numbers a row is broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local: dict[str, str] = {}
 
