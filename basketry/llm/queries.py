@@ -157,3 +157,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     archive = write_archives(table(spark, sf_dir, "pages"))
     return read_archives(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "bundle", "frame", "frame_offset")
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from basketry.llm.spelling import typing_errors, variants, word_counts
+
+    return variants(word_counts(table(spark, sf_dir, "documents"), change=typing_errors(31)))
