@@ -164,3 +164,29 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from basketry.llm.spelling import typing_errors, variants, word_counts
 
     return variants(word_counts(table(spark, sf_dir, "documents"), change=typing_errors(31)))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Turns as a faulty crawl would have them, by crc32 of `conv_id:turn` modulo 20: 0 is lost, 1 empty, 2 without `.!?`, 3 there twice, 4 the user's. Nulls are a space."""
+
+    def text(name: str):
+        return F.coalesce(F.col(name).cast("string"), F.lit(" "))
+
+    kind = F.pmod(F.crc32(F.encode(F.concat(text("conv_id"), F.lit(":"), text("turn")), "utf-8")), F.lit(20))
+    times = F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1)
+    rows = conversations.select(
+        "conv_id",
+        "turn",
+        F.when(kind == 4, "user").otherwise(text("role")).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text("text"), "[.!?]", "")).otherwise(text("text")).alias("text"),
+        F.explode(F.array_repeat(F.lit(1), times)).alias("copy"),
+    )
+    return rows.drop("copy")
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from basketry.llm.repair import repair
+
+    conversations = table(spark, sf_dir, "conversations")
+    return repair(damaged(conversations), ids=conversations.select("conv_id").distinct()).conversations
