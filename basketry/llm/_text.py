@@ -137,6 +137,14 @@ def _words(data: np.ndarray, off: np.ndarray, lo: int, hi: int, is_word: np.ndar
     return h, np.searchsorted(first, starts), first, end, *more
 
 
+def hashes(seg: np.ndarray, first: np.ndarray, end: np.ndarray, fold: np.ndarray = _LOWER) -> np.ndarray:
+    """Hashes of the given ranges of bytes, with A-Z lower-cased (or bytes folded by another table); of words, the same as words() gives."""
+    up, down = powers(len(seg) + 1)
+    sums = np.zeros(len(seg) + 1, np.uint64)
+    np.cumsum(_BYTE[fold][seg] * up[: len(seg)], out=sums[1:])
+    return mix((sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64))
+
+
 def grams(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of every k consecutive word hashes, across rows too: callers keep those within a row."""
     n = len(h) - k + 1
