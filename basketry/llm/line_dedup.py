@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm._spark import BATCH_BYTES, BROADCAST_ROWS, Scratch, prepare
+from basketry.llm._spark import BATCH_BYTES, Scratch, prepare
 from basketry.llm._text import NOT_SPACE, SLICE, U, hashes, slices, utf8
 
 #: Bits of a filter at most (64 MB), and of the parts in which filters are merged.
@@ -179,8 +179,6 @@ def line_duplicates(documents: DataFrame, least_length: int = 20, least_document
     lost = suspects.join(F.broadcast(shared.where(frequent)), "digest").unionByName(suspects.join(shared.where(~frequent), "digest"))
     lost = lost.where(~F.col("doc_id").eqNullSafe(F.col("stays"))).groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_set("lines")).alias("lost"))
     lost = scratch.save(lost.withColumnsRenamed({"doc_id": "d", "text_hash": "t"}), "lost")
-    rows, lines = lost.agg(F.count(F.lit(1)), F.sum(F.size("lost"))).first()
-    few = rows + (lines or 0) <= BROADCAST_ROWS
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,7 +197,7 @@ def line_duplicates(documents: DataFrame, least_length: int = 20, least_document
                     rows, size = [[], [], [], []], 0
             yield _kept(rows)
 
-    joined = hashed.join(F.broadcast(lost) if few else lost, hashed["doc_id"].eqNullSafe(lost["d"]) & (hashed["text_hash"] == lost["t"]), "left").select("doc_id", "text", "lost")
+    joined = hashed.join(lost, hashed["doc_id"].eqNullSafe(lost["d"]) & (hashed["text_hash"] == lost["t"]), "left").select("doc_id", "text", "lost")
     scratch.drop("filters", "suspects", "shared")
     return joined.mapInArrow(kept, "doc_id long, n_lines long, n_dropped long, text string")
 

@@ -71,7 +71,6 @@ def test_lines_of_null_ids_and_no_rows(spark):
 
 def test_lines_joined_by_shuffles(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "FREQUENT", 3)
-    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
     rows = odd_documents(random.Random(4))
     assert Counter(tuple(r) for r in line_dedup.line_duplicates(documents_of(spark, rows)).collect()) == Counter(lines_by_hand(rows))
 
