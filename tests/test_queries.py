@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from basketry.plans import lookups  # noqa: F401
+from basketry.plans import lookups, timelines  # noqa: F401
 from basketry.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
