@@ -24,6 +24,7 @@ columns, whatever their names, are left out.
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
@@ -97,23 +98,33 @@ class SlotMap:
         rows = [(self.version, slot, s, self.shards, len(self.shard_of)) for slot, s in enumerate(self.shard_of)]
         return spark.createDataFrame(rows, "map_version int, virtual_slot int, shard int, shards int, slots int")
 
-    def write(self, spark: SparkSession, folder: str) -> None:
-        """A version is never written over."""
-        self.table(spark).coalesce(1).write.mode("error").parquet(f"{folder}/version={self.version}")
+    def write(self, spark: SparkSession, folder: str) -> SlotMap:
+        """Written under a passing name and renamed when whole, so no run finds half a version. A version is never written over: a number that is taken leads to the next one. Returns the map with the number it got."""
+        self.table(spark).coalesce(1).write.parquet(draft := f"{folder}/_draft-{uuid.uuid4().hex}")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        files = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        number = self.version
+        while files.exists(path(f"{folder}/version={number}")) or not files.rename(path(draft), path(f"{folder}/version={number}")):
+            number += 1
+        return replace(self, version=number)
 
     @classmethod
     def read(cls, spark: SparkSession, folder: str, version: int | None = None) -> SlotMap | None:
-        """The newest version in the folder, or the one asked for; None if there is no folder."""
+        """The newest whole version in the folder, or the one asked for; None if there is none. What a broken run has left is passed over. A version's number is its folder's."""
         try:
-            kept = spark.read.parquet(folder)
+            kept = spark.read.schema("virtual_slot int, shard int, shards int, slots int, version int").parquet(folder)
         except AnalysisException as e:
             if e.getCondition() == "PATH_NOT_FOUND":
                 return None
             raise
-        version = version or kept.agg(F.max("map_version")).first()[0]
-        rows = sorted(kept.where(F.col("map_version") == version).select("virtual_slot", "shard", "shards", "slots").collect())
-        if not rows or [r[0] for r in rows] != list(range(rows[0][3])):
+        each = kept.groupBy("version").agg(F.count_distinct("virtual_slot").alias("n"), F.max("slots").alias("slots")).where("n = slots")
+        newest = each.agg(F.max("version")).first()[0]
+        if version is not None and not each.where(F.col("version") == version).count():
             raise ValueError(f"version {version} of the map in {folder} is missing or not whole")
+        version = newest if version is None else version
+        if version is None:
+            return None
+        rows = sorted(kept.where(F.col("version") == version).select("virtual_slot", "shard", "shards").collect())
         return cls(version, rows[0][2], tuple(r[1] for r in rows))
 
 
@@ -147,10 +158,13 @@ def placed(documents: DataFrame, shards: int = 40, slots: int = SLOTS, slot_map:
     sizes = slot_sizes(records)
     by_bytes = {k: v[0] for k, v in sizes.items()}
     slot_map = slot_map or SlotMap.balanced(by_bytes, shards, slots)
-    if maps and slot_map.shards != shards:
-        slot_map = slot_map.rebalanced(by_bytes, shards)
-    if maps and slot_map is not known:
-        slot_map.write(spark, maps)
+    if maps:
+        # A kept map is edited when its shards no longer have nearly equal bytes.
+        edited = slot_map.rebalanced(by_bytes, shards)
+        if (edited.shards, edited.shard_of) != (slot_map.shards, slot_map.shard_of):
+            slot_map = edited if known else replace(edited, version=slot_map.version)
+        if slot_map is not known:
+            slot_map = slot_map.write(spark, maps)
     each = max(1, -(-sum(n for _, n in sizes.values()) // PARTS))
     parts = [-(-sizes[x][1] // each) if x in sizes else 1 for x in range(slots)]
     shard_of = spark.createDataFrame([(x, s, parts[x]) for x, s in enumerate(slot_map.shard_of)], "virtual_slot int, shard int, parts int")

@@ -238,13 +238,29 @@ def test_sharding_follows_the_kept_map(spark, docs, tmp_path):
     rows, first = sharding.placed(docs, 4, 64, maps=maps)
     assert sharding.SlotMap.read(spark, maps) == first
     at = {r.doc_id: r.shard for r in rows.collect()}
-    later, followed = sharding.placed(docs.where("doc_id < 20"), 4, 64, maps=maps)
+    later, followed = sharding.placed(docs, 4, 64, maps=maps)
     assert followed == first and all(at[r.doc_id] == r.shard for r in later.collect())
     grown = sharding.placed(docs, 5, 64, maps=maps)[1]
     assert grown.version == 2 and grown.shards == 5
     assert sharding.SlotMap.read(spark, maps) == grown and sharding.SlotMap.read(spark, maps, 1) == first
 
 
+def test_a_kept_map_keeps_the_law_when_data_grow(spark, tmp_path):
+    """A map of few documents is edited for many, and half a version is passed over."""
+    maps = f"file://{tmp_path}/maps"
+    (tmp_path / "maps" / "version=1").mkdir(parents=True)
+    few = spark.createDataFrame([(i, f"text {i}") for i in range(200)], "doc_id long, text string")
+    many = spark.createDataFrame([(i, f"text {i} " * (1 + i % 9)) for i in range(9000)], "doc_id long, text string")
+    first = sharding.placed(few, 10, maps=maps)[1]
+    assert first.version == 2 and sharding.SlotMap.read(spark, maps) == first
+    rows, grown = sharding.placed(many, 10, maps=maps)
+    sizes = [r[0] for r in rows.groupBy("shard").sum("size").select("sum(size)").collect()]
+    assert len(sizes) == 10 and max(sizes) - min(sizes) <= 0.01 * sum(sizes) / 10
+    assert grown.version == 3 and sharding.placed(many, 10, maps=maps)[1] == grown
+    with pytest.raises(ValueError):
+        sharding.SlotMap.read(spark, maps, 1)
+
+
 def test_toxicity(spark):
     rng = random.Random(1)
     rows = [(i, ". ".join(prose(8, rng) for _ in range(4)) + (". you utter grobnik" + rng.choice(["", "ling"]) if i % 3 == 0 else "")) for i in range(300)]
