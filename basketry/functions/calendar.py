@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # School starts on Aug 15 and ends on May 31; dates of Mardi Gras.
@@ -87,6 +87,34 @@ def federal_holidays(first: int, last: int) -> list[tuple[str, dt.date]]:
     return sorted(out, key=lambda x: (x[1], x[0]))
 
 
+def years_of(*columns: tuple[DataFrame, str]) -> DataFrame:
+    """(y): all years from the first to the last in the given date columns."""
+    ends = None
+    for df, c in columns:
+        one = df.agg(F.min(F.year(c)).alias("a"), F.max(F.year(c)).alias("b"))
+        ends = one if ends is None else ends.unionByName(one)
+    return ends.agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a IS NOT NULL").select(F.explode(F.sequence("a", "b")).alias("y"))
+
+
+def holiday_table(years: DataFrame) -> DataFrame:
+    """(rule, h) of the federal holidays as observed in the years (y): what federal_holidays gives, as rows that Spark makes."""
+    y = F.col("y")
+    found = []
+    for name, rule in FEDERAL.items():
+        if len(rule) == 2:
+            day = F.make_date(y, F.lit(rule[0]), F.lit(rule[1]))
+            day = F.date_add(day, F.when(F.weekday(day) == 5, -1).when(F.weekday(day) == 6, 1).otherwise(0))
+        elif rule[2] < 0:
+            end = F.last_day(F.make_date(y, F.lit(rule[0]), F.lit(1)))
+            day = F.date_sub(end, F.pmod(F.weekday(end) - rule[1], F.lit(7)))
+        else:
+            first = F.make_date(y, F.lit(rule[0]), F.lit(1))
+            day = F.date_add(first, F.pmod(rule[1] - F.weekday(first), F.lit(7)) + 7 * (rule[2] - 1))
+        found.append(F.struct(F.lit(name).alias("rule"), day.alias("h")))
+    rows = years.select("y", F.explode(F.array(*found)).alias("x"))
+    return rows.where((F.col("x.rule") != "Juneteenth") | (y >= 2021)).select("x.rule", "x.h")
+
+
 def dates(days: list[dt.date]) -> Column:
     return F.array(*(F.lit(x) for x in sorted(days))).cast("array<date>")
 

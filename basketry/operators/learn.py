@@ -8,9 +8,11 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
 from pyspark.ml.feature import FeatureHasher, OneHotEncoder, PCA, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketry.storage import Rounds, saved
+
 
 def reduced(vectors: DataFrame, share: float = 0.95) -> DataFrame:
     """Adds reduced: the fewest principal components that explain the share of variance."""
@@ -56,11 +58,53 @@ def split_at_random(df: DataFrame, share: float = 0.8, seed: int = 42) -> tuple[
 
 
 def split_stratified(df: DataFrame, label: str, share: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Of each label's rows the same share (to one row) on either side, by a hash of the row: the same rows every time, whatever the partitions."""
-    place = F.percent_rank().over(Window.partitionBy(label, "_bin").orderBy("_hash"))
-    hashed = df.withColumn("_hash", F.xxhash64(*df.columns)).withColumn("_bin", F.pmod("_hash", F.lit(64)))
-    ranked = hashed.withColumn("_place", place)
-    return ranked.where(F.col("_place") < share).drop("_hash", "_bin", "_place"), ranked.where(F.col("_place") >= share).drop("_hash", "_bin", "_place")
+    """Of each label's rows about the same share on either side: rows whose hash, dealt evenly, lies below the share's, counted to one row. The same rows every time, whatever the partitions; rows are ranked in bins of hashes that grow in number with each label's rows, so no task gets a label as a whole."""
+    hashed = df.withColumn("_hash", F.xxhash64(*df.columns))
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed(label, "_label")
+    # Bins of about 100,000 rows.
+    rows = hashed.join(F.broadcast(sizes) if sizes.limit(10_001).count() <= 10_000 else sizes, hashed[label].eqNullSafe(sizes["_label"]))
+    rows = rows.withColumn("_bin", F.pmod("_hash", F.floor(F.col("_n") / 100_000) + 1))
+    rows = rows.withColumn("_place", F.percent_rank().over(Window.partitionBy(label, "_bin").orderBy("_hash")))
+    extra = ("_hash", "_label", "_n", "_bin", "_place")
+    return rows.where(F.col("_place") < share).drop(*extra), rows.where(F.col("_place") >= share).drop(*extra)
+
+
+def with_item_rate(rows: DataFrame, label: str, name: str = "item_rate", weight: float = 10.0) -> DataFrame:
+    """Adds how often the label was 1 in the item's rows of earlier days, drawn to the rate of all rows of earlier days (0 on the first) as if that had been seen `weight` times. A row's own day never counts, so nothing of its label leaks into it. Rows are (item_id, d, label, ...); the rates by day are a row for each."""
+    hit = F.col(label).cast("double")
+    past = Window.partitionBy("item_id").orderBy(F.unix_date("d")).rangeBetween(Window.unboundedPreceding, -1)
+    by_day = rows.groupBy("d").agg(F.sum(hit).alias("_hits"), F.count(hit).alias("_seen"))
+    before = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
+    prior = by_day.select("d", F.coalesce(F.try_divide(F.sum("_hits").over(before), F.sum("_seen").over(before)), F.lit(0.0)).alias("_prior"))
+    known = rows.select("*", F.coalesce(F.sum(hit).over(past), F.lit(0.0)).alias("_own"), F.count(hit).over(past).alias("_times")).join(prior, "d", "left")
+    rate = (F.col("_own") + weight * F.coalesce("_prior", F.lit(0.0))) / (F.col("_times") + weight)
+    return known.select(*rows.columns, rate.alias(name))
+
+
+def fit_each_item(rows: DataFrame, columns: list[str], label: str, steps: int = 20, rate: float = 0.5, decay: float = 0.0) -> DataFrame:
+    """(item_id, weights): a logistic regression of its own for every item, the first weight being the constant. All are fitted together: a step joins the rows with their item's weights and sums up gradients by item, before the shuffle too, so a step is one pass over the rows however many items there are. Nulls count as 0."""
+    n = len(columns) + 1
+    values = F.array(F.lit(1.0), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns))
+    slim = saved(rows.where("item_id IS NOT NULL").select("item_id", values.alias("x"), F.col(label).cast("double").alias("y")).where("y IS NOT NULL"), "rows")
+    rounds = Rounds(rows.sparkSession, "weights")
+    weights = rounds.next(slim.select("item_id").distinct().withColumn("weights", F.array_repeat(F.lit(0.0), n)))
+    for _ in range(steps):
+        met = slim.join(weights, "item_id").withColumn("_error", score_of("weights", "x") - F.col("y"))
+        sums = met.groupBy("item_id").agg(F.array(*(F.avg(F.col("_error") * F.col("x")[j]) for j in range(n))).alias("g"), F.first("weights").alias("weights"))
+        weights = rounds.next(sums.select("item_id", F.zip_with("weights", "g", lambda w, g: w - rate * (g + decay * w)).alias("weights")))
+    return weights
+
+
+def score_of(weights: str, values: str) -> Column:
+    dot = F.aggregate(F.zip_with(weights, values, lambda w, x: w * x), F.lit(0.0), lambda a, x: a + x)
+    return 1 / (1 + F.exp(-dot))
+
+
+def next_basket(latest: DataFrame, weights: DataFrame, columns: list[str], threshold: float = 0.5) -> DataFrame:
+    """Of each item's latest row, the chance by the item's own weights that it is in the next basket: item_id, score, expected, rank."""
+    values = F.array(F.lit(1.0), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns))
+    scored = latest.withColumn("_x", values).join(weights, "item_id").select("item_id", "d", score_of("weights", "_x").alias("score"))
+    return next_trip(scored, threshold)
 
 
 def boosted_model(rows: DataFrame, trees: int = 10, depth: int = 4, validation: float = 0.0, patience: float = 0.01, seed: int = 42):
@@ -73,8 +117,8 @@ def boosted_model(rows: DataFrame, trees: int = 10, depth: int = 4, validation:
 
 
 def boosted_scores(df: DataFrame, columns: list[str], label: str, trees: int = 10, validation: float = 0.1) -> DataFrame:
-    """Scores of all rows by trees over the columns and the item's number, trained on the earlier dates, ended early by the loss on a part of them."""
-    rows = VectorAssembler(inputCols=[*columns, "item_id"], outputCol="features").transform(df).withColumn("label", F.col(label).cast("double"))
+    """Scores of all rows by trees over the columns and the item's rate so far (its number has no order to split by), trained on the earlier dates, ended early by the loss on a part of them."""
+    rows = VectorAssembler(inputCols=[*columns, "item_rate"], outputCol="features").transform(with_item_rate(df, label)).withColumn("label", F.col(label).cast("double"))
     train, _ = split_by_time(rows)
     model = boosted_model(train.select("features", "label"), trees, validation=validation)
     return model.transform(rows).select("item_id", "d", label, vector_to_array("probability")[1].alias("score"))

@@ -76,15 +76,35 @@ def at_time(date: Column, time: Column, form: str = "M/d/yyyy h:mm a") -> Column
     return F.try_to_timestamp(F.concat_ws(" ", date, time), F.lit(form))
 
 
+#: Columns that a report in wide form has at most.
+WIDEST = 5000
+
+
 def category_flags(rows: DataFrame, key: str, categories: str, known: list[str] | None = None) -> DataFrame:
-    """Of (key, categories: array): a row per key with a 0/1 column is_<category> for each known one, in order. Known ones are those given, which grow by what the rows hold: a dimension, found in a pass of its own."""
+    """Of (key, categories: array): a row per key with a 0/1 column is_<category> for each known one, in order. Known ones are those given, which grow by what the rows hold: a dimension, found in a pass of its own. More than WIDEST are an error: use sparse_flags for them."""
     each = rows.select(key, F.explode(categories).alias("category")).where("category IS NOT NULL").select(key, F.replace(F.lower("category"), F.lit(" "), F.lit("_")).alias("category"))
-    names = sorted({*(known or []), *(r[0] for r in each.select("category").distinct().collect())})
+    found = each.select("category").distinct().limit(WIDEST + 1).collect()
+    names = sorted({*(known or []), *(r[0] for r in found)})
+    if len(names) > WIDEST:
+        raise ValueError(f"more than {WIDEST} categories would be as many columns; use sparse_flags")
     held = each.groupBy(key).agg(F.collect_set("category").alias("_held"))
     joined = rows.select(key).distinct().join(held, key, "left")
     return joined.select(key, *(F.coalesce(F.array_contains("_held", c), F.lit(False)).cast("int").alias(f"is_{c}") for c in names))
 
 
+def index_of(rows: DataFrame, categories: str, before: DataFrame | None = None) -> DataFrame:
+    """(item, item_id): a place for each category of the arrays, by name from 0. With the index of an earlier version, its places stay and new categories follow, by name; keep each version to read vectors by it."""
+    each = rows.select(F.explode(categories).alias("item")).where("item IS NOT NULL").distinct()
+    before = rows.sparkSession.createDataFrame([], "item string, item_id long") if before is None else before
+    return append_ids(before, each)
+
+
+def sparse_flags(rows: DataFrame, key: str, categories: str, index: DataFrame) -> DataFrame:
+    """Of (key, categories: array): a row per key, with the places in the index that it holds, in order: a one-hot vector over any number of categories. Categories that the index lacks are left out; keys without any have an empty list."""
+    each = rows.select(key, F.explode_outer(categories).alias("item")).distinct().join(index, "item", "left")
+    return each.groupBy(key).agg(F.array_sort(F.collect_list("item_id")).alias("held"))
+
+
 def columns_of_type(df: DataFrame, *kinds: str) -> list[str]:
     """Names of the columns whose type is one of the kinds, such as double or string; "number" stands for all numbers."""
     numbers = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")

@@ -379,9 +379,18 @@ _NEXT, _LAST = "(SELECT min(h) FROM hol WHERE h >= d)", "(SELECT max(h) FROM hol
 _EVERY = [x for _, x in _ALL]
 
 
-@query(f"WITH {_HOL} SELECT rule, CAST(h AS DATE) AS h FROM hol")
+_YEARS = "SELECT CAST(unnest(generate_series((SELECT year(min(o_orderdate)) FROM orders), (SELECT year(max(ts)) FROM events))) AS INTEGER) AS y"
+FEDERAL = _HOL.replace("SELECT CAST(range AS INTEGER) AS y FROM range(1994, 2003)", _YEARS)[:-1] + " UNION ALL " + _FIXED.format("Juneteenth", 6, 19) + " WHERE y >= 2021)"
+
+
+def holidays(spark, sf) -> DataFrame:
+    """Those of all years of the tables."""
+    return C.holiday_table(C.years_of((table(spark, sf, "orders"), "o_orderdate"), (table(spark, sf, "events"), "ts")))
+
+
+@query(f"WITH {FEDERAL} SELECT rule, CAST(h AS DATE) AS h FROM hol")
 def federal_holidays(spark, sf):
-    return spark.createDataFrame(_ALL, "rule string, h date")
+    return holidays(spark, sf)
 
 
 _daily("next_prev_holiday_asof", f"CAST(date_diff('day', d, {_NEXT}) AS BIGINT) AS until, CAST(date_diff('day', {_LAST}, d) AS BIGINT) AS since", lambda d: [big(F.datediff(C.next_of(d, C.dates(_EVERY)), d), "until"), big(F.datediff(d, C.last_of(d, C.dates(_EVERY))), "since")], f", {_HOL}")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from basketry.plans.queries import EV, big, query, r6, table
+from basketry.operators import embedding, learn, lookups, overtime
+from basketry.plans.queries import BEFORE, EV, FEDERAL, PANEL, PE, big, ev_panel, feats, holidays, pe, query, r6, table, weather
 from basketry.storage import shared_path
 from basketry.streaming import history
 
@@ -23,3 +24,107 @@ def stream_item_history(spark, sf):
     history.write_updates(history.histories(stream), out, shared_path(spark, "state"))
     found = history.latest_histories(spark.read.parquet(out))
     return found.select("item_id", "first_d", "last_d", big(F.col("purchases"), "purchases"), big(F.col("qty"), "qty"), r6(F.col("avg_gap"), "avg_gap"), r6(F.col("ewma"), "ewma"))
+
+
+_W3 = "w AS (SELECT CAST(ts AS DATE) AS d, avg(value) AS temp FROM events WHERE day(ts) % 5 = 0 GROUP BY 1)"
+_L = "l AS (SELECT event_id, user_id, ts FROM events WHERE event_type <> 'purchase'), r AS (SELECT user_id, ts, value FROM events WHERE event_type = 'purchase')"
+
+
+def _sides(spark, sf):
+    events = table(spark, sf, "events")
+    return events.where("event_type != 'purchase'").select("event_id", "user_id", "ts"), events.where("event_type = 'purchase'").select("user_id", "ts", "value")
+
+
+@query(f"WITH {_L} SELECT event_id, r.ts AS bought, value FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts > r.ts")
+def asof_last_purchase(spark, sf):
+    left, right = _sides(spark, sf)
+    return overtime.as_of(left, right, "ts", ("user_id",), strict=True).select("event_id", F.col("ts_right").alias("bought"), "value")
+
+
+@query(f"WITH {_L}, j AS (SELECT event_id, l.ts, r.ts AS bought, value FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts <= r.ts) SELECT event_id, CASE WHEN bought <= ts + INTERVAL 1 DAY THEN bought END AS bought, CASE WHEN bought <= ts + INTERVAL 1 DAY THEN value END AS value FROM j")
+def asof_next_purchase_within_a_day(spark, sf):
+    """Split by days, as if one user had much of the rows."""
+    left, right = _sides(spark, sf)
+    day = 86_400_000_000
+    return overtime.as_of(left, right, "ts", ("user_id",), "forward", tolerance=day, bucket=day).select("event_id", F.col("ts_right").alias("bought"), "value")
+
+
+@query(f"""WITH {_W3}, e AS (SELECT event_id, CAST(ts AS DATE) AS d FROM events), j AS (SELECT event_id, e.d, w.d AS measured, temp FROM e ASOF LEFT JOIN w ON e.d >= w.d)
+SELECT event_id, CASE WHEN date_diff('day', measured, d) <= 2 THEN measured END AS measured, CASE WHEN date_diff('day', measured, d) <= 2 THEN round(temp, 6) END AS temp FROM j""")
+def asof_weather(spark, sf):
+    """The last weather measured, of two days before at most; it is measured on a few days of the month."""
+    days = weather(spark, sf).where("day(d) % 5 = 0")
+    events = table(spark, sf, "events").select("event_id", F.to_date("ts").alias("d"))
+    return overtime.as_of(events, days, "d", tolerance=2, bucket=7).select("event_id", F.col("d_right").alias("measured"), r6(F.col("temp"), "temp"))
+
+
+@query(f"""WITH {FEDERAL}, q AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders UNION SELECT DISTINCT CAST(ts AS DATE) FROM events)
+SELECT d, (SELECT min(h) FROM hol WHERE h > d) AS upcoming, (SELECT max(h) FROM hol WHERE h <= d) AS latest, (SELECT arg_max(rule, h) FROM hol WHERE h <= d) AS rule FROM q""")
+def asof_holidays_of_a_table(spark, sf):
+    """The holidays around each day, from a table of them."""
+    days = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("d")).union(table(spark, sf, "events").select(F.to_date("ts"))).distinct()
+    table_of = holidays(spark, sf)
+    after = overtime.as_of(days, table_of.select(F.col("h").alias("upcoming")), "d", direction="forward", strict=True, bucket=365, right_time="upcoming")
+    return overtime.as_of(after, table_of.withColumnRenamed("h", "latest"), "d", bucket=365, right_time="latest")
+
+
+@query("""WITH e AS (SELECT event_id, user_id, ts FROM events WHERE event_type <> 'purchase'), p AS (SELECT event_id AS purchase, user_id, ts AS bought FROM events WHERE event_type = 'purchase')
+SELECT event_id, purchase FROM e JOIN p ON e.user_id = p.user_id AND e.ts BETWEEN p.bought AND p.bought + INTERVAL 6 HOUR""")
+def interval_after_purchase(spark, sf):
+    """Events of a user within six hours of a purchase."""
+    events, bought = _sides(spark, sf)[0], table(spark, sf, "events").where("event_type = 'purchase'")
+    periods = bought.select(F.col("event_id").alias("purchase"), "user_id", F.col("ts").alias("bought"), (F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias("until"))
+    return overtime.within(events, periods, "ts", "bought", "until", 6 * 3_600_000_000, ("user_id",)).select("event_id", "purchase")
+
+
+@query(f"""WITH {FEDERAL}, p AS (SELECT CAST(o_orderdate AS DATE) AS a, CAST(l_shipdate AS DATE) AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT rule, CAST(h AS DATE) AS h, CAST(count(*) AS BIGINT) AS waiting FROM hol JOIN p ON h BETWEEN a AND b GROUP BY 1, 2""")
+def interval_open_on_holidays(spark, sf):
+    """Order lines that wait for shipment on each holiday."""
+    joined = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    periods = joined.select(F.to_date("o_orderdate").alias("ordered"), F.to_date("l_shipdate").alias("shipped"))
+    return overtime.within(holidays(spark, sf), periods, "h", "ordered", "shipped", 30).groupBy("rule", "h").agg(F.count(F.lit(1)).alias("waiting"))
+
+
+@query(f"""WITH {PANEL}, by_day AS (SELECT d, sum(buy) AS hits, count(*) AS seen FROM panel GROUP BY d),
+prior AS (SELECT d, coalesce(sum(hits) OVER w / CAST(sum(seen) OVER w AS DOUBLE), 0) AS p FROM by_day WINDOW w AS (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+o AS (SELECT item_id, d, coalesce(sum(buy) OVER {BEFORE}, 0) AS own, count(*) OVER {BEFORE} AS times FROM panel)
+SELECT item_id, d, round((own + 10 * p) / (times + 10), 6) AS item_rate FROM o JOIN prior USING (d)""")
+def item_rate_so_far(spark, sf):
+    return learn.with_item_rate(ev_panel(spark, sf), "buy").select("item_id", "d", r6(F.col("item_rate"), "item_rate"))
+
+
+_FEATURES = ["since", "avg_gap", "n_so_far"]
+
+
+def _scaled(spark, sf):
+    """Features of the panel between 0 and 1."""
+    known = feats(spark, sf)
+    return known.select("item_id", "d", "buy", *((F.col(c) / (F.col(c) + 5.0)).alias(c) for c in _FEATURES))
+
+
+@query()
+def embedding_scores(spark, sf):
+    """Chances of a purchase by items' embeddings and features, trained on the earlier dates."""
+    rows = _scaled(spark, sf)
+    train, _ = learn.split_by_time(rows)
+    model = embedding.train(train, _FEATURES, "buy", dim=4, hidden=(8,), batches=2, rounds=3, rate=0.05)
+    return embedding.scores(model, rows, ["item_id", "d", "buy"])
+
+
+@query()
+def next_basket_of_each_item(spark, sf):
+    """A model for every item, all fitted together; one row for each item."""
+    rows = _scaled(spark, sf)
+    weights = learn.fit_each_item(rows, _FEATURES, "buy", steps=8)
+    return learn.next_basket(rows, weights, _FEATURES)
+
+
+@query(f"""WITH {PE}, n AS (SELECT item_id, row_number() OVER (ORDER BY CAST(item_id AS VARCHAR)) - 1 AS i FROM (SELECT DISTINCT item_id FROM pe)), t AS (SELECT DISTINCT source, i FROM pe JOIN n USING (item_id))
+SELECT source, CAST(count(*) AS BIGINT) AS size, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS held FROM t GROUP BY source""")
+def trip_items_sparse(spark, sf):
+    """Each trip's items as the places of a one-hot vector over all items."""
+    bought = pe(spark, sf).select("source", F.array(F.col("item_id").cast("string")).alias("items"))
+    vocabulary = lookups.index_of(bought, "items")
+    flags = lookups.sparse_flags(bought, "source", "items", vocabulary)
+    return flags.select("source", F.size("held").cast("long").alias("size"), F.array_join(F.transform("held", lambda x: x.cast("string")), ",").alias("held"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,17 +11,28 @@ from pyspark.sql import functions as F
 WEATHER = {"temp": "temp_feat", "feelslike": "feelsLike_feat", "humidity": "humidity_feat", "precip": "precip_feat", "windspeed": "windspeed_feat", "sealevelpressure": "sealevelpressure_feat"}
 
 
-def read_orders(spark: SparkSession, path: str, widest: int = 64) -> DataFrame:
-    """CSV orders as (source, date, item, qty); brand words are removed from names. Columns are found by each file's own header, so files may have them in any order; of a file with more than `widest` columns the further ones aren't found. A value holds no line break."""
-    files = spark.read.option("pathGlobFilter", "*.[cC][sS][vV]").text(path, wholetext=True)
-    lines = files.select(F.col("_metadata.file_name").alias("source"), F.split(F.regexp_replace("value", "^\ufeff", ""), r"\r?\n").alias("lines"))
-    schema = ", ".join(f"c{i} string" for i in range(widest))
-    fields = lambda c: F.array(*(F.from_csv(c, F.lit(schema))[f"c{i}"] for i in range(widest)))
-    rows = lines.select("source", F.transform(fields(F.element_at("lines", 1)), F.trim).alias("header"), F.explode(F.slice("lines", 2, F.size("lines"))).alias("line"))
-    rows = rows.where(F.trim("line") != "").select("source", "header", fields(F.col("line")).alias("values"))
-    value = lambda name: F.try_element_at("values", F.nullif(F.array_position("header", name), F.lit(0)).cast("int"))
-    item = F.trim(F.replace(F.replace(value("Product Description"), F.lit("Great Value"), F.lit("")), F.lit("Freshness Guaranteed"), F.lit("")))
-    return rows.select("source", F.to_date(value("Order Date")).alias("date"), item.alias("item"), value("Product Quantity").try_cast("int").alias("qty"))
+def headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Files of orders by their first line. As the driver lists the files anyway, this has a row for each."""
+    lines = spark.read.option("pathGlobFilter", "*.[cC][sS][vV]").text(path)
+    own = lines.where("_metadata.file_block_start = 0").select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("n"))
+    found: dict[str, list[str]] = {}
+    for r in own.groupBy("file").agg(F.min_by("value", "n").alias("header")).orderBy("file").collect():
+        found.setdefault(r["header"].lstrip("\ufeff"), []).append(r["file"])
+    return found
+
+
+def read_orders(spark: SparkSession, path: str, quoted_breaks: bool = True) -> DataFrame:
+    """CSV orders as (source, date, item, qty); brand words are removed from names. Columns are found by each file's own header, which is one line, in any order and number; columns that a file lacks, dates and quantities that are none, are null. Values may hold line breaks in quotes; without quoted_breaks they may not, and large files are read in splits."""
+    out = spark.createDataFrame([], "source string, date date, item string, qty int")
+    for header, files in headers(spark, path).items():
+        names = [x.strip() for x in next(csv.reader([header]), [])]
+        schema = ", ".join(f"c{i} string" for i in range(max(1, len(names))))
+        raw = spark.read.options(header=True, multiLine=quoted_breaks, escape='"', enforceSchema=True).schema(schema).csv(files)
+        value = lambda name: F.col(f"c{names.index(name)}") if name in names else F.lit(None).cast("string")  # noqa: B023, E731
+        item = F.regexp_replace(F.replace(F.replace(value("Product Description"), F.lit("Great Value"), F.lit("")), F.lit("Freshness Guaranteed"), F.lit("")), r"^\s+|\s+\z", "")
+        rows = raw.select(F.col("_metadata.file_name").alias("source"), F.try_to_timestamp(value("Order Date")).cast("date").alias("date"), item.alias("item"), value("Product Quantity").try_cast("int").alias("qty"))
+        out = out.unionByName(rows)
+    return out
 
 
 def read_weather(spark: SparkSession, path: str) -> DataFrame:

@@ -107,13 +107,13 @@ class ItemHistory(StatefulProcessor):
 
 
 class FirstArrival(StatefulProcessor):
-    """The first row to arrive of each key, of those in one batch the least source; the key is known for `keep` milliseconds from then, for ever with 0."""
+    """The first row to arrive of each key, of those in one batch the least source; the key is known for `keep` milliseconds from then."""
 
     def __init__(self, keep: int):
         self.keep = keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "row_known boolean", self.keep or None)
+        self.seen = handle.getValueState("seen", "row_known boolean", self.keep)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         first = min(((s or "", r) for df in rows for s, r in zip(df["source"], df["row"])), default=None)
@@ -159,21 +159,22 @@ def write_updates(stream: DataFrame, path: str, checkpoint: str, mode: str = "up
         run.awaitTermination()
         return run
     run, end = writer.trigger(processingTime="0 seconds").start(), time.monotonic() + most_seconds
-    while run.isActive and time.monotonic() < end:
-        now = run.lastProgress
-        if now is not None and not now["numInputRows"] and not run.status["isDataAvailable"]:
-            break
-        run.awaitTermination(1)
+    # The batches without rows that follow the last one with rows.
+    idle: set[int] = set()
+    while run.isActive and time.monotonic() < end and len(idle) < 3:
+        for now in run.recentProgress:
+            idle = idle | {now["batchId"]} if not now["numInputRows"] else {x for x in idle if x > now["batchId"]}
+        run.awaitTermination(0.5)
     run.stop()
     if run.exception() is not None:
         raise run.exception()
     return run
 
 
-def first_arrivals(parsed: DataFrame, keys: list[str], keep: str | None = None) -> DataFrame:
-    """Of a stream with a source, the rows whose keys didn't arrive before, or with keep (such as "30 days") not within that time, by arrival and not by any date in the rows. Output mode: append."""
-    n, unit = (keep or "0 days").split()
+def first_arrivals(parsed: DataFrame, keys: list[str], keep: str) -> DataFrame:
+    """Of a stream with a source, the rows whose keys didn't arrive within that time before (such as "30 days"), by arrival and not by any date in the rows. Output mode: append."""
+    n, unit = keep.split()
     ms = int(n) * {"second": 1000, "minute": 60_000, "hour": 3_600_000, "day": DAY_MS}[unit.rstrip("s")]
     slim = parsed.select(*keys, "source", F.to_json(F.struct(*parsed.columns), {"ignoreNullFields": "false"}).alias("row"))
-    found = slim.groupBy(*keys).transformWithStateInPandas(FirstArrival(ms), "row string", "append", "processingTime" if keep else "none")
+    found = slim.groupBy(*keys).transformWithStateInPandas(FirstArrival(ms), "row string", "append", "processingTime")
     return found.select(F.from_json("row", parsed.schema).alias("r")).select("r.*")

@@ -15,13 +15,13 @@ def receipt_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def without_copies(parsed: DataFrame, keep: str | None = None) -> DataFrame:
-    """Parsed receipts without those that came in another file already: of receipts with one date, time and multiset of items one stays. On a stream (of a session with a RocksDB state store, see history.state_session) that is the first to arrive, known for good or for `keep` from then, whatever the receipt's date: older receipts come out whenever they arrive. Receipts without a date go."""
+    """Parsed receipts without those that came in another file already: of receipts with one date, time and multiset of items one stays. On a stream that is one of the first batch to bring it, known for good, or with keep (such as "30 days") for that time from then, whatever the receipt's date: older receipts come out whenever they arrive. keep needs a session with a RocksDB state store, see history.state_session. Receipts without a date go."""
     line = F.transform("items", lambda i: F.concat_ws("|", i["item"], i["qty"].cast("string")))
     signature = F.sha2(F.array_join(F.array_sort(line), "\n"), 256)
     day = F.coalesce(F.try_to_timestamp("date", F.lit("M/d/yyyy")), F.try_to_timestamp("date", F.lit("M/d/yy")))
     dated = parsed.withColumns({"_at": day, "_signature": signature, "_time": F.coalesce("time", F.lit(""))}).where("_at IS NOT NULL")
     keys = ["_at", "_time", "_signature"]
-    alone = first_arrivals(dated, keys, keep) if parsed.isStreaming else dated.dropDuplicates(keys)
+    alone = first_arrivals(dated, keys, keep) if parsed.isStreaming and keep else dated.dropDuplicates(keys)
     return alone.drop(*keys)
 
 

@@ -144,3 +144,22 @@ def test_a_stream_without_copied_receipts(spark, tmp_path):
     got = receipts.events(spark.table("alone")).collect()
     assert sorted((str(r.d), r.t, r["item"]) for r in got) == sorted([("2030-01-02", "9:09 PM", "milk")] * 3 + [("2030-01-02", "9:10 PM", "milk")] * 2 + [("2030-01-02", "9:09 PM", "eggs")])
     assert ingest.without_copies(receipts.parse(spark.read.text(str(tmp_path / "*.txt"), wholetext=True).select(F.lit("x").alias("source"), "value"))).count() == 3
+
+
+def test_sparse_flags_of_a_growing_vocabulary(spark):
+    first = spark.createDataFrame([(1, ["b", "a", None, "a"]), (2, []), (3, None), (1, ["c"])], "k int, c array<string>")
+    index = lookups.index_of(first, "c")
+    assert {tuple(r) for r in index.collect()} == {("a", 0), ("b", 1), ("c", 2)}
+    assert {(r.k, tuple(r.held)) for r in lookups.sparse_flags(first, "k", "c", index).collect()} == {(1, (0, 1, 2)), (2, ()), (3, ())}
+    second = spark.createDataFrame([(9, ["aa", "c"])], "k int, c array<string>")
+    grown = lookups.index_of(second, "c", index)
+    assert {tuple(r) for r in grown.collect()} == {("a", 0), ("b", 1), ("c", 2), ("aa", 3)}
+    assert lookups.sparse_flags(second, "k", "c", grown).first().held == [2, 3]
+
+
+def test_a_million_names_stay_off_the_driver(spark, monkeypatch):
+    rows = spark.range(1_000_000).select((F.col("id") % 1000).alias("k"), F.array(F.col("id").cast("string")).alias("c"))
+    with monkeypatch.context() as m:
+        m.setattr(type(rows), "collect", lambda *_: pytest.fail("brought to the driver"))
+        flags = lookups.sparse_flags(rows, "k", "c", lookups.index_of(rows, "c"))
+    assert len(flags.schema) == 2 and flags.agg(F.sum(F.size("held"))).first()[0] == 1_000_000
