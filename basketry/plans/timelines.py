@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from basketry.operators import embedding, learn, lookups, overtime
 from basketry.plans.queries import BEFORE, EV, FEDERAL, PANEL, PE, big, ev_panel, feats, holidays, pe, query, r6, table, weather
+from basketry.sources import receipts
 from basketry.storage import shared_path
 from basketry.streaming import history
 
@@ -128,3 +129,20 @@ def trip_items_sparse(spark, sf):
     vocabulary = lookups.index_of(bought, "items")
     flags = lookups.sparse_flags(bought, "source", "items", vocabulary)
     return flags.select("source", F.size("held").cast("long").alias("size"), F.array_join(F.transform("held", lambda x: x.cast("string")), ",").alias("held"))
+
+
+@query("""SELECT CAST(l_orderkey AS VARCHAR) AS source, 'Ann ' || (l_orderkey % 7) AS manager, CAST(CASE l_partkey % 3 WHEN 2 THEN 1 ELSE l_quantity END AS INTEGER) AS qty,
+  CASE l_partkey % 3 WHEN 0 THEN 'part-' || l_partkey WHEN 1 THEN 'caf-1-' || l_partkey ELSE 'salt-and-pepper-' || l_partkey END AS item, round(l_extendedprice, 2) AS reg, round(l_extendedprice * 2, 2) AS paid
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+def receipt_items(spark, sf):
+    """Orders written as receipt texts with coupons, misread quantities and letters in odd Unicode forms, parsed back to items."""
+    lines = table(spark, sf, "lineitem").join(table(spark, sf, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    kind, qty, part = F.col("l_partkey") % 3, F.col("l_quantity").cast("int").cast("string"), F.col("l_partkey").cast("string")
+    # An accent that stands apart, a wide digit, and spaces of other kinds.
+    name = F.when(kind == 0, F.concat(F.lit("QTY "), qty, F.lit("\u00a0 Part "), part)).when(kind == 1, F.concat(F.lit("qty-"), qty, F.lit(" Cafe\u0301 \uff11 "), part)).otherwise(F.concat(F.lit("Salt & Pepper "), part))
+    price = lambda c: F.concat(F.lit(" $"), F.format_string("%.2f", F.round(c, 2)))
+    line = F.concat(name, price(F.col("l_extendedprice")), price(F.col("l_extendedprice") * 2), F.lit(" B\nYou save $1.00 $1.00\nCPN SCANNED COUPON $2.00 $2.00"))
+    bodies = lines.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("body"))
+    text = F.concat(F.lit("Store Manager: Ann "), (F.col("l_orderkey") % 7).cast("string"), F.lit("\nReg You Pay\n"), "body")
+    parsed = receipts.parse(bodies.select(F.col("l_orderkey").cast("string").alias("source"), text.alias("value")))
+    return parsed.select("source", "manager", F.explode("items").alias("i")).select("source", "manager", "i.qty", "i.item", F.col("i.reg").alias("reg"), F.col("i.youPay").alias("paid"))
