@@ -77,6 +77,9 @@ NOT_MAIN_WORD = set(
 )
 MAIN, MAIN_ROLE, MAIN_WORD = {"article", "main"}, {"main", "article"}, {"article", "content", "entry", "post", "story"}
 GENERAL_WORD = set("area bar block body bottom box buttons column container form global inner item left links list main outer page panel right section site slot teaser text top unit wrap wrapper".split())
+# Of the words that mark boilerplate, those that do so whatever content they stand with, and words for that content: related-posts, user-comments.
+BESIDE_MAIN_WORD = set("comment comments cookie cookies newsletter recommended related replies share sharing social subscribe".split())
+CONTENT_WORD = set("article articles content entries entry guest links media more policy post posts read reader readers reading stories story user users visitor".split())
 
 
 def _key(text: str) -> int:
@@ -85,8 +88,13 @@ def _key(text: str) -> int:
 
 
 def _marked(marks: str, by: set[str]) -> bool:
-    """Whether one of the marks has words of a set and none but general ones besides."""
-    return any(words & by and not words - by - GENERAL_WORD for words in ({*_WORD.findall(x)} for x in marks.split()))
+    """Whether one of the marks has words of a set and none but general ones besides; of boilerplate, some words mark it beside words for content too."""
+
+    def all_of(words: set[str]) -> bool:
+        rest = words - by - GENERAL_WORD
+        return not rest or by is NOT_MAIN_WORD and bool(words & BESIDE_MAIN_WORD) and not rest - CONTENT_WORD
+
+    return any(words & by and all_of(words) for words in ({*_WORD.findall(x)} for x in marks.split()))
 
 
 class Page:

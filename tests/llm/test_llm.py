@@ -407,3 +407,9 @@ def test_pipeline_against_brute_force(spark):
     assert {i: b"".join(ids for _, ids in sorted(parts)) for i, parts in got.items()} == {
         i: b"".join(x.to_bytes(4, "little") for x in [*t.encode(x or "", add_special_tokens=False).ids, 0]) for i, x in docs.items()
     }
+
+
+@pytest.mark.parametrize("mark, goes", [(x, True) for x in ("article-comments", "user-comments", "comment-list", "related-posts", "related articles-box", "social-media", "cookie-policy", "share-buttons", "newsletter-signup")] + [(x, False) for x in ("post-body", "media-content", "privacy-policy", "entry-title", "links-text", "user-guide", "comment-on-budget")])
+def test_html_marks_within_articles(mark, goes):
+    page = html_extract.Page(f'<article><p>First words.</p><div class="x {mark}"><p>Second words.</p></div><p>Third words.</p></article>')
+    assert [t for t in page.texts if t] == ["First words.", *([] if goes else ["Second words."]), "Third words."]
