@@ -145,4 +145,4 @@ def receipt_items(spark, sf):
     bodies = lines.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("body"))
     text = F.concat(F.lit("Store Manager: Ann "), (F.col("l_orderkey") % 7).cast("string"), F.lit("\nReg You Pay\n"), "body")
     parsed = receipts.parse(bodies.select(F.col("l_orderkey").cast("string").alias("source"), text.alias("value")))
-    return parsed.select("source", "manager", F.explode("items").alias("i")).select("source", "manager", "i.qty", "i.item", F.col("i.reg").alias("reg"), F.col("i.youPay").alias("paid"))
+    return receipts.items_of(parsed, "source", "manager").select("source", "manager", "i.qty", "i.item", F.col("i.reg").alias("reg"), F.col("i.youPay").alias("paid"))
