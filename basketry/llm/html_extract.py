@@ -15,15 +15,19 @@ pages of a host:
 3. A class is valid if on MOST_PAGES of a hundred of its pages its tokens come in one order,
    over and over, and it nests: a class that begins within another one ends before the
    other's next token. Valid classes make up the host's template, nested as they stand.
-4. What a page has between the tokens of its template are slots. A slot is known by the
-   class within which it is and the token before it. Blocks in valid classes are the
-   template's own words.
-
-The main text of a page are the blocks within its articles: elements that say by name or
-role that they are an article or the main part. Without one, it is what the slots hold,
-but for slots in which most of the text is links; if some of its elements are marked as
-content, only those. Elements that are boilerplate by name, role or mark (a mark counts if
-it has no other words than such ones and general ones) have no text anywhere.
+4. What a page has between the elements of its template are slots. A slot is known by the
+   class within which it is and the element before it. Blocks in valid classes are the
+   template's own words; they stand in slots like others.
+5. Slots are looked at over all pages of the host: a slot in which nearly all the text is
+   links (MENU_LINKS of a hundred characters), with MENU_BLOCKS blocks a page or more, is a
+   menu, whatever its elements are called and wherever it stands, articles included.
+
+The main text of a page is what its slots hold that aren't menus: of pages with articles
+(elements that say by name or role that they are an article or the main part), the slots'
+blocks within these; of others, the blocks that aren't the template's words, but for slots
+in which most of the page's text is links; if some of its elements are marked as content,
+only those. Elements that are boilerplate by name, role or mark (a mark counts if it has no
+other words than such ones and general ones) have no text anywhere.
 
 Null and empty html give an empty text. Cut-off markup is closed at its end. Repeated rows,
 rows that share an id and copies are extracted each, but a template is deduced from the
@@ -53,6 +57,8 @@ from basketry.llm._spark import Scratch, prepare
 LEAST_PAGES, SUPPORT = 2, 1
 #: Elements that a class needs, and of a hundred of the host's pages how many make up for them.
 LEAST_ELEMENTS, MOST_PAGES = 3, 90
+#: Characters in links, of a hundred, and blocks a page that make a slot a menu.
+MENU_LINKS, MENU_BLOCKS = 80, 2
 #: Copies of each host's template that its pages are dealt to.
 SALT = 16
 
@@ -214,7 +220,7 @@ PARSED = "page_id long, url string, host string, digest long, tokens binary, blo
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """Of rows (page_id, url, host, html): the same with, in the html's place, a digest, tokens (64-bit keys) and of the blocks: places, levels and characters in links (32-bit numbers), and texts."""
+    """Of rows (page_id, url, host, html): the same with, in the html's place, a digest, tokens (64-bit keys) and of the blocks: places, levels, characters in links and characters (32-bit numbers), and texts."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("digest", pa.int64()), ("tokens", pa.binary()), ("blocks", pa.binary()), ("texts", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +229,7 @@ def parsed(pages: DataFrame) -> DataFrame:
                 out = []
                 for page_id, url, host, text in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
                     page = Page(text)
-                    numbers = np.array([page.places, page.levels, page.links], "<i4").tobytes()
+                    numbers = np.array([page.places, page.levels, page.links, [len(x) for x in page.texts]], "<i4").tobytes()
                     out.append((page_id, url, host, xxhash.xxh64_intdigest(text) - (1 << 63), np.array(page.tokens, "<i8").tobytes(), numbers, page.texts))
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], f.type) for k, f in enumerate(schema)], schema=schema)
 
@@ -261,7 +267,7 @@ def _classes(distinct: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _by_host(classes: DataFrame) -> DataFrame:
     """its_host, classes, a row for each salt."""
-    one = classes.groupBy("host").agg(F.collect_list(F.struct("class", "pages", "tokens")).alias("classes"))
+    one = classes.groupBy("host").agg(F.collect_list(F.struct(*(c for c in classes.columns if c != "host"))).alias("classes"))
     return one.select(F.col("host").alias("its_host"), "classes", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
 
 
@@ -330,10 +336,16 @@ def templates(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(classes.join(valid, ["host", "class"], "left_semi"), "valid")
 
 
+def elements_of(classes: list[dict]) -> tuple[dict[int, int], list[int]]:
+    """Each element's class, as its number in the list, and the number of elements of each class."""
+    of = {token: k for token, k in class_of_tokens(classes).items() if token % 2 == 0}
+    return of, [sum(t % 2 == 0 for t in c["tokens"]) for c in classes]
+
+
 def slots(tokens: list[int], of: dict[int, int], sizes: list[int]) -> list[tuple[int, int] | None]:
-    """Of each token of a page: the slot that it is in, as (class, token before it), (-1, 0) outside of all classes; None for tokens of the template."""
+    """Of each token of a page: the slot that it is in, as (class, element before it), (-1, 0) outside of all classes; None for elements of the template. of and sizes are those of elements."""
     out: list[tuple[int, int] | None] = []
-    stack: list[list[int]] = []  # class, its tokens so far, the last of them
+    stack: list[list[int]] = []  # class, its elements so far, the last of them
     for token in tokens:
         if (k := of.get(token)) is None:
             out.append((stack[-1][0], stack[-1][2]) if stack else (-1, 0))
@@ -341,7 +353,7 @@ def slots(tokens: list[int], of: dict[int, int], sizes: list[int]) -> list[tuple
         out.append(None)
         at = next((i for i, x in enumerate(stack) if x[0] == k), None)
         if at is None or stack[at][1] == sizes[k]:
-            # A class that is complete goes on until another one's token: behind its last token is a slot too.
+            # A class that is complete goes on until another one's element: behind its last element is a slot too.
             while stack and (stack[-1][1] == sizes[stack[-1][0]] or stack[-1][0] == k):
                 stack.pop()
             stack.append([k, 1, token])
@@ -351,20 +363,52 @@ def slots(tokens: list[int], of: dict[int, int], sizes: list[int]) -> list[tuple
     return out
 
 
-def main_text(places: list[int], levels: list[int], links: list[int], texts: list[str], slot: list[tuple[int, int] | None], keep_article: bool) -> list[int]:
-    """Which of a page's blocks are its main text."""
+def with_menus(distinct: DataFrame, valid: DataFrame) -> DataFrame:
+    """Of rows (host, digest, tokens, blocks), each content once: the valid classes with menus: those of their elements behind which a menu stands, by all pages of the host."""
+    schema = pa.schema([("host", pa.string()), ("class", pa.int64()), ("token", pa.int64()), *((c, pa.int64()) for c in ("n_pages", "n_blocks", "n_chars", "n_links"))])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                sums: dict[tuple[str, int, int], list[int]] = {}
+                known: dict[str, tuple[dict[int, int], list[int], list[int]]] = {}
+                rows = batch.slice(at, 512)
+                for i, (host, raw, numbers) in enumerate(zip(*(rows.column(k).to_pylist() for k in range(3)))):
+                    if host not in known:
+                        found = rows.column(3)[i].as_py() or []
+                        known[host] = *elements_of(found), [c["class"] for c in found]
+                    of, sizes, names = known[host]
+                    slot = slots(np.frombuffer(raw, "<i8").tolist(), of, sizes)
+                    places, _, links, chars = np.frombuffer(numbers, "<i4").reshape(4, -1).tolist()
+                    seen = set()
+                    for place, link, n in zip(places, links, chars):
+                        k, token = slot[place]
+                        if k >= 0:
+                            row = sums.setdefault((host, names[k], token), [0, 0, 0, 0])
+                            for j, x in enumerate(((k, token) not in seen, 1, n, link)):
+                                row[j] += x
+                            seen.add((k, token))
+                out = [(*key, *row) for key, row in sums.items()]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    rows = _with_classes(distinct.select("host", "digest", "tokens", "blocks"), valid, "digest").where("classes IS NOT NULL").select("host", "tokens", "blocks", "classes")
+    counted = rows.mapInArrow(look, "host string, class long, token long, n_pages long, n_blocks long, n_chars long, n_links long")
+    counted = counted.groupBy("host", "class", "token").agg(*(F.sum(c).alias(c) for c in ("n_pages", "n_blocks", "n_chars", "n_links")))
+    menus = counted.where(f"100 * n_links >= {MENU_LINKS} * n_chars AND n_blocks >= {MENU_BLOCKS} * n_pages AND n_pages >= {LEAST_PAGES}")
+    return valid.join(menus.groupBy("host", "class").agg(F.collect_list("token").alias("menus")), ["host", "class"], "left")
+
+
+def main_text(levels: list[int], links: list[int], texts: list[str], slot: list[tuple[int, int]], own_words: list[bool], menus: set[tuple[int, int]], keep_article: bool) -> list[int]:
+    """Which of a page's blocks are its main text, by their slots and by whether they are words of the template's own."""
     top = max(levels, default=0)
-    chosen = range(len(texts))
-    if top == 2 and keep_article:
-        return [i for i in chosen if levels[i] == 2]
-    chosen = [i for i in chosen if levels[i] >= top and slot[places[i]] is not None]
+    chosen = [i for i in range(len(texts)) if levels[i] >= top and slot[i] not in menus and (top == 2 and keep_article or not own_words[i])]
     if top == 2:
         return chosen
     full, linked = Counter(), Counter()
     for i in chosen:
-        full[slot[places[i]]] += len(texts[i])
-        linked[slot[places[i]]] += links[i]
-    return [i for i in chosen if 2 * linked[slot[places[i]]] <= full[slot[places[i]]]]
+        full[slot[i]] += len(texts[i])
+        linked[slot[i]] += links[i]
+    return [i for i in chosen if 2 * linked[slot[i]] <= full[slot[i]]]
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", keep_article: bool = False) -> DataFrame:
@@ -373,9 +417,10 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_column), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     rows = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url_column).alias("url"), F.coalesce(F.col(html_column), F.lit("")).alias("html"), host.alias("host"))
     rows = scratch.save(parsed(rows), "parsed")
-    distinct = rows.groupBy("host", "digest").agg(F.first("tokens").alias("tokens"))
-    valid = templates(scratch.save(distinct, "distinct"), scratch)
-    scratch.drop("tokens", "classes", "distinct")
+    distinct = rows.groupBy("host", "digest").agg(F.first(F.struct("tokens", "blocks")).alias("_")).select("host", "digest", "_.tokens", "_.blocks")
+    distinct = scratch.save(distinct, "distinct")
+    valid = scratch.save(with_menus(distinct, templates(distinct, scratch)), "menus")
+    scratch.drop("tokens", "classes", "distinct", "valid")
     joined = _with_classes(rows, valid, "page_id", "digest").select("page_id", "url", "host", "tokens", "blocks", "texts", "classes")
     spot = pa.list_(pa.struct([("slot", pa.string()), ("n_chars", pa.int64())]))
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("template_pages", pa.int64()), ("slots", spot)])
@@ -384,20 +429,22 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 out = []
-                known: dict[str, tuple[dict[int, int], list[int], list[dict]]] = {}
+                known: dict[str, tuple] = {}
                 some = batch.slice(at, 256)
                 for i, (page_id, url, host, raw, numbers, texts) in enumerate(zip(*(some.column(k).to_pylist() for k in range(6)))):
                     if host not in known:
                         found = some.column(6)[i].as_py() or []
-                        known[host] = class_of_tokens(found), [len(c["tokens"]) for c in found], found
-                    of, sizes, found = known[host]
+                        menus = {(k, token) for k, c in enumerate(found) for token in c["menus"] or []}
+                        known[host] = class_of_tokens(found), *elements_of(found), menus, found
+                    of, elements, sizes, menus, found = known[host]
                     tokens = np.frombuffer(raw, "<i8").tolist()
-                    places, levels, links = np.frombuffer(numbers, "<i4").reshape(3, -1).tolist()
-                    slot = slots(tokens, of, sizes)
-                    chosen = main_text(places, levels, links, texts, slot, keep_article)
-                    name = lambda s: "" if s is None or s[0] < 0 else f"{found[s[0]]['class'] & (1 << 64) - 1:016x}.{s[1] & (1 << 64) - 1:016x}"  # noqa: B023, E731
+                    places, levels, links, _ = np.frombuffer(numbers, "<i4").reshape(4, -1).tolist()
+                    all_slots = slots(tokens, elements, sizes)
+                    slot = [all_slots[place] for place in places]
+                    chosen = main_text(levels, links, texts, slot, [tokens[place] in of for place in places], menus, keep_article)
+                    name = lambda s: "" if s[0] < 0 else f"{found[s[0]]['class'] & (1 << 64) - 1:016x}.{s[1] & (1 << 64) - 1:016x}"  # noqa: B023, E731
                     n = max((found[k]["pages"] for k in {of[t] for t in tokens if t in of}), default=0)
-                    spots = [{"slot": name(slot[places[i]]), "n_chars": len(texts[i])} for i in chosen]
+                    spots = [{"slot": name(slot[i]), "n_chars": len(texts[i])} for i in chosen]
                     out.append((page_id, url, "\n".join(texts[i] for i in chosen), n, spots))
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], f.type) for k, f in enumerate(schema)], schema=schema)
 

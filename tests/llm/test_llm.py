@@ -98,6 +98,54 @@ def test_html_keeps_what_every_article_carries(spark):
     assert all(got[i].text == f"T{i} & co\nFirst {i} line\nSecond <{i}>\nSame words" for i in range(12))
 
 
+UNMARKED = '<body><article><h1><a href="/{0}">Title {0}</a></h1><p>Own <a href="/x">words</a> of {0}</p><section><h4>{1}</h4><ul>{2}</ul></section></article><section><ol>{3}</ol></section></body>'
+
+
+def links(*names):
+    return "".join(f'<li><a href="/{x}">{x}</a></li>' for x in names)
+
+
+def test_html_finds_unmarked_menus_by_their_slots(spark):
+    """A list of links that every page has within its article, by no telling name: the host's template says that it is a menu. Its heading is one block of words and stays, as the title does, which is a link."""
+    page = lambda k: UNMARKED.format(k, f"Part {k}", links(*(f"other {k}.{j}" for j in range(2 + k % 3))), links("Home", "About"))
+    rows = [(k, f"http://h.example/{k}", page(k)) for k in range(12)]
+    got = extracted(spark, rows, keep_article=True)
+    assert all(got[k].text == f"Title {k}\nOwn words of {k}\nPart {k}" for k in range(12))
+    # Each on a host of its own, nothing is deduced, and the article is taken whole.
+    alone = extracted(spark, [(k, f"http://h{k}.example/", text) for k, _, text in rows], keep_article=True)
+    assert all(alone[k].text.startswith(f"Title {k}\nOwn words of {k}\nPart {k}\nother {k}.0\nother {k}.1") for k in range(12))
+
+
+def test_html_keeps_lists_of_words_in_articles(spark):
+    """Links in prose, lists of words and one linked block a page are no menus."""
+    item = '<li>Point {0}.{1} with <a href="/{1}">a link</a> and more words</li>'
+    rows = [(k, f"http://h.example/{k}", '<body><article><p><a href="/a">By A</a></p><ul>' + "".join(item.format(k, j) for j in range(3)) + "</ul></article></body>") for k in range(6)]
+    got = extracted(spark, rows, keep_article=True)
+    assert all(got[k].text == "By A\n" + "\n".join(f"Point {k}.{j} with a link and more words" for j in range(3)) for k in range(6))
+
+
+def test_html_menus_against_brute_force(spark):
+    """Which elements have a menu behind them, counted over all pages of a host at once."""
+    from basketry.llm import _spark
+
+    rows = [(k, f"http://h.example/{k}", UNMARKED.format(k, f"Part {k}", links(*(f"other {k}.{j}" for j in range(k % 4))), links("Home", "About"))) for k in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'h' AS host")
+    scratch = _spark.Scratch(_spark.prepare(spark))
+    parsed = scratch.save(html_extract.parsed(pages), "parsed")
+    valid = html_extract.templates(parsed, scratch)
+    found = html_extract.with_menus(parsed, valid).collect()
+    classes = [r.asDict() for r in found]
+    of, sizes = html_extract.elements_of(classes)
+    sums = {}
+    for _, _, text in rows:
+        page = html_extract.Page(text)
+        slot = html_extract.slots(page.tokens, of, sizes)
+        for place, x, n in zip(page.places, page.texts, page.links):
+            sums.setdefault(slot[place], []).append((text, len(x), n))
+    want = {s for s, own in sums.items() if s[0] >= 0 and 100 * sum(x[2] for x in own) >= 80 * sum(x[1] for x in own) and len(own) >= 2 * len({x[0] for x in own}) and len({x[0] for x in own}) >= 2}
+    assert {(k, t) for k, c in enumerate(classes) for t in c["menus"] or []} == want and want
+
+
 def test_html_of_two_layouts(spark):
     one = '<body><div class="a"><div class="b"><div class="c">Top of one</div><p>Own {0}</p></div></div></body>'
     two = '<body><section class="d"><table><tr><td>Top of two</td></tr></table><p>Own {0}</p></section></body>'
