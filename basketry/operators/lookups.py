@@ -120,3 +120,10 @@ def distinct_elements(df: DataFrame, column: str) -> DataFrame:
 def first_in_order(df: DataFrame, n: int, *order: str) -> DataFrame:
     """The first n rows in an order: a top-n report, not a sample."""
     return df.orderBy(*order).limit(n)
+
+
+def inspected(df: DataFrame, keys: list[str], flags: list[str], shown: list[str]) -> DataFrame:
+    """What one looks at of a wide frame: keys, items (names of the flags that are 1), and values (name to value of the columns to show)."""
+    items = F.array_compact(F.array(*(F.when(F.col(c) == 1, F.lit(c)) for c in flags)))
+    values = F.map_from_arrays(F.array(*(F.lit(c) for c in shown)), F.array(*(F.col(c).cast("string") for c in shown)))
+    return df.select(*keys, items.alias("items"), values.alias("values"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from basketry.operators import embedding, learn, lookups, overtime
 from basketry.plans.queries import BEFORE, EV, FEDERAL, PANEL, PE, big, ev_panel, feats, holidays, pe, query, r6, table, weather
-from basketry.sources import receipts
+from basketry.sources import receipts, workbook
 from basketry.storage import shared_path
 from basketry.streaming import history
 
@@ -146,3 +146,32 @@ def receipt_items(spark, sf):
     text = F.concat(F.lit("Store Manager: Ann "), (F.col("l_orderkey") % 7).cast("string"), F.lit("\nReg You Pay\n"), "body")
     parsed = receipts.parse(bodies.select(F.col("l_orderkey").cast("string").alias("source"), text.alias("value")))
     return receipts.items_of(parsed, "source", "manager").select("source", "manager", "i.qty", "i.item", F.col("i.reg").alias("reg"), F.col("i.youPay").alias("paid"))
+
+
+@query("""WITH s AS (SELECT c_mktsegment AS name, count(*) AS n, CAST(round(sum(c_acctbal * 100)) AS BIGINT) AS cents FROM customer GROUP BY 1), d AS (SELECT CAST(ts AS DATE) AS d, count(*) AS n, count(*) % 2 = 0 AS even FROM events WHERE event_type = 'purchase' GROUP BY 1)
+SELECT 'By <segment> & all' AS sheet, CAST(1 AS BIGINT) AS row, 'segment|customers|cents|none' AS cells UNION ALL SELECT 'days', 1, 'd|n|even'
+UNION ALL SELECT 'By <segment> & all', 1 + row_number() OVER (ORDER BY name), name || chr(10) || '<&_x0041_>|' || n || '|' || cents || '|' FROM s
+UNION ALL SELECT 'days', 1 + row_number() OVER (ORDER BY d), date_diff('day', DATE '1899-12-30', d) || '|' || n || '|' || CASE WHEN even THEN 1 ELSE 0 END FROM d""")
+def workbook_read_again(spark, sf):
+    """A report of two sheets, written as a workbook and read again cell by cell."""
+    segments = table(spark, sf, "customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("customers"), F.round(F.sum(F.col("c_acctbal") * 100)).cast("long").alias("cents"))
+    segments = segments.orderBy("c_mktsegment").select(F.concat("c_mktsegment", F.lit("\n<&_x0041_>")).alias("segment"), "customers", "cents", F.lit(None).cast("string").alias("none"))
+    days = table(spark, sf, "events").where("event_type = 'purchase'").groupBy(F.to_date("ts").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    path = f"{shared_path(spark, 'report')}.xlsx"
+    workbook.write_workbook({"By <segment> & all": segments, "days": days.select("d", "n", (F.col("n") % 2 == 0).alias("even")).orderBy("d")}, path)
+    cells = F.array_join(F.transform("cells", lambda x: F.coalesce(x, F.lit(""))), "|")
+    return workbook.read_workbook(spark, path).select("sheet", F.col("row").cast("long").alias("row"), cells.alias("cells"))
+
+
+_KINDS = ("click", "error", "purchase", "signup", "view")
+
+
+@query(f"""WITH n AS (SELECT user_id, CAST(ts AS DATE) AS d, {", ".join(f"CAST(count(*) FILTER (event_type = '{k}') AS BIGINT) AS {k}" for k in _KINDS)} FROM events GROUP BY 1, 2)
+SELECT user_id, d, concat_ws(',', {", ".join(f"CASE WHEN {k} > 0 THEN '{k}' END" for k in _KINDS)}) AS items, {" || ',' || ".join(f"'{k}=' || {k}" for k in _KINDS)} AS shown FROM n""")
+def inspected_days(spark, sf):
+    """Wide rows as one reads them: the flags that are set, by name, and the values beside them."""
+    events = table(spark, sf, "events").groupBy("user_id", F.to_date("ts").alias("d"))
+    wide = events.agg(*(F.count_if(F.col("event_type") == k).alias(f"n_{k}") for k in _KINDS), *(F.max((F.col("event_type") == k).cast("int")).alias(k) for k in _KINDS))
+    seen = lookups.inspected(wide, ["user_id", "d"], list(_KINDS), [f"n_{k}" for k in _KINDS])
+    shown = F.array_join(F.transform(F.map_entries("values"), lambda x: F.concat(F.substring(x["key"], 3, 100), F.lit("="), x["value"])), ",")
+    return seen.select("user_id", "d", F.array_join("items", ",").alias("items"), shown.alias("shown"))

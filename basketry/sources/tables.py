@@ -93,6 +93,6 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_tables(frames: dict[str, DataFrame], path: str) -> None:
-    """Each frame as CSV in a folder of its name: what a workbook of many sheets holds."""
+    """Each frame as CSV in a folder of its name, of any size; workbook.write_workbook writes one file of bounded sheets."""
     for name, df in frames.items():
         write_csv(df, f"{path}/{name}")
