@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from basketry.operators import embedding, learn, lookups, overtime
+from basketry.operators import embedding, explain, learn, lookups, overtime
 from basketry.plans.queries import BEFORE, EV, FEDERAL, PANEL, PE, big, ev_panel, feats, holidays, pe, query, r6, table, weather
 from basketry.sources import receipts, workbook
 from basketry.storage import shared_path
@@ -175,3 +177,16 @@ def inspected_days(spark, sf):
     seen = lookups.inspected(wide, ["user_id", "d"], list(_KINDS), [f"n_{k}" for k in _KINDS])
     shown = F.array_join(F.transform(F.map_entries("values"), lambda x: F.concat(F.substring(x["key"], 3, 100), F.lit("="), x["value"])), ",")
     return seen.select("user_id", "d", F.array_join("items", ",").alias("items"), shown.alias("shown"))
+
+
+@query(f"WITH {PANEL} SELECT item_id, d, TRUE AS adds_up, CAST(3 AS BIGINT) AS features FROM panel")
+def scores_explained(spark, sf):
+    """Of every row of the panel, whether what its features add to the trees' score sums up to it."""
+    columns = ["since", "avg_gap", "n_so_far"]
+    rows = feats(spark, sf).select("item_id", "d", F.col("buy").cast("double").alias("label"), *(F.col(c).cast("double") for c in columns))
+    rows = VectorAssembler(inputCols=columns, outputCol="features").transform(rows)
+    model = learn.boosted_model(rows.select("features", "label"), trees=5, depth=4)
+    scored = model.transform(rows).select("item_id", "d", "features", vector_to_array("rawPrediction")[1].alias("margin"))
+    found = explain.with_contributions(scored, model)
+    total = F.col("base") + F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x)
+    return found.select("item_id", "d", (F.abs(total - F.col("margin")) < 1e-9).alias("adds_up"), F.size("contributions").cast("long").alias("features"))
